@@ -28,7 +28,8 @@ def longest_segment(text: Column) -> Column:
     """The longest non-blank part between segment marks, the first one on ties; text without a mark stays as it is."""
     parts = F.filter(F.transform(F.split(text, K.SEGMENT_MARK), strip), lambda p: p != "")
     longest = F.aggregate(parts, F.lit(""), lambda best, p: F.when(F.length(p) > F.length(best), p).otherwise(best))
-    return F.when(F.contains(text, F.lit(K.SEGMENT_MARK)) & (F.size(parts) > 0), longest).otherwise(text)
+    marked = F.contains(text, F.lit(K.SEGMENT_MARK))
+    return F.when(marked, F.coalesce(F.nullif(longest, F.lit("")), text)).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
@@ -77,32 +78,43 @@ def is_keyword_token(token: Column, stopwords: Sequence[str] = K.LABEL_STOPWORDS
     )
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body refers to it.
+
+    Without this, Catalyst inlines an expression into every lambda that mentions it and evaluates it per array element.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(tokens_: Column, n_min: int = 1, n_max: int = 3) -> Column:
     """Word n-grams, shorter ones first."""
-    parts = []
-    for n in range(n_min, n_max + 1):
+
+    def of_length(words_: Column, n: int) -> Column:
         if n == 1:
-            parts.append(tokens_)
-            continue
-        gram = lambda i, n=n: F.concat_ws(" ", *[F.get(tokens_, i + k) for k in range(n)])
-        parts.append(F.when(F.size(tokens_) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens_) - n), gram))
-                     .otherwise(no_strings()))
-    return F.flatten(F.array(*parts))
+            return words_
+        grams = F.transform(F.sequence(F.lit(0), F.size(words_) - n),
+                            lambda i: F.concat_ws(" ", *[F.get(words_, i + k) for k in range(n)]))
+        return F.when(F.size(words_) >= n, grams).otherwise(no_strings())
 
+    return bind(tokens_, lambda w: F.flatten(F.array(*[of_length(w, n) for n in range(n_min, n_max + 1)])))
 
-def positioned_ngrams(words_: Column, n_max: Column) -> Column:
+
+def positioned_ngrams(tokens_: Column, n_max: Column) -> Column:
     """``struct(start, stop, gram)`` for every word n-gram up to ``n_max`` words (a Column, often a scalar subquery)."""
-    size = F.size(words_)
-    longest = F.least(F.coalesce(n_max, F.lit(1)), size)
-    per_length = F.transform(
-        F.sequence(F.lit(1), longest),
-        lambda n: F.transform(
-            F.sequence(F.lit(0), size - n),
-            lambda i: F.struct(i.alias("start"), (i + n - 1).alias("stop"),
-                               F.array_join(F.slice(words_, i + 1, n), " ").alias("gram")),
-        ),
-    )
-    return F.when(size > 0, F.flatten(per_length))
+
+    def build(w: Column) -> Column:
+        size = F.size(w)
+        per_length = F.transform(
+            F.sequence(F.lit(1), F.least(F.coalesce(n_max, F.lit(1)), size)),
+            lambda n: F.transform(
+                F.sequence(F.lit(0), size - n),
+                lambda i: F.struct(i.alias("start"), (i + n - 1).alias("stop"),
+                                   F.array_join(F.slice(w, i + 1, n), " ").alias("gram")),
+            ),
+        )
+        return F.when(size > 0, F.flatten(per_length))
+
+    return bind(tokens_, build)
 
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
