@@ -228,7 +228,7 @@ def build_labelled_dictionary(rows: DataFrame, taxonomy: DataFrame | None = None
 
 def draft_groups(rows: DataFrame) -> DataFrame:
     """Groups of equal (code, label) in first-seen order with a dense number, their size and the first description."""
-    from cargoline.operators.joins import number_by
+    from cargoline.operators.joins import number_sorted
 
     by = ["hs_code", *K.LABEL_COLUMNS]
     kept = _zero_labels(rows).withColumn("hs_code", codes.hs_digits(F.col("hs_code")))
@@ -237,7 +237,7 @@ def draft_groups(rows: DataFrame) -> DataFrame:
                                    F.min(F.struct("row_id", "product_name")).alias("first"))
     flat = groups.select(*by, "n_products", F.col("first.row_id").alias("first_row"),
                          F.substring("first.product_name", 1, 120).alias("sample_text"))
-    return number_by(flat, "first_row", "cluster_id")
+    return number_sorted(flat, "first_row", "cluster_id")
 
 
 def tag_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:

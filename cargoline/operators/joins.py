@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cargoline.session import materialize
+
 #: Any key that holds more than 1/1024 of the rows is among the 1024 most frequent ones, so this many keys are enough,
 #: and a broadcast of them has a fixed bound.
 HOT_KEYS = 1024
 SALTS = 64
-_BUCKET_BITS = 20
 
 
 def hottest(counts: DataFrame, keys: Sequence[str], count_col: str, limit: int = HOT_KEYS) -> DataFrame:
@@ -35,16 +36,16 @@ def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFr
     return salted_left.drop("_hot").join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
-def number_by(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Dense 0-based number of each row in the order of a unique long column ``key``, without a global sort.
+def number_sorted(df: DataFrame, order_by: str, name: str) -> DataFrame:
+    """Dense 0-based number of each row in the order of ``order_by``, without sorting the table in one task.
 
-    Rows fall into buckets of 2**20 neighbouring key values. A bucket cannot hold more rows than that, since keys are
-    unique, so the numbering inside a bucket is bounded work; only one count per bucket is summed up in one task.
+    The rows are range-partitioned and written once, so that partition numbers are facts and not recomputed; rows are
+    numbered inside their range and shifted by the size of the ranges before. Only one count per range meets in one task.
     """
-    bucketed = df.withColumn("_bucket", F.shiftright(F.col(key), _BUCKET_BITS))
-    running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n")).select(
-        "_bucket", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(key)) - 1
-    return (bucketed.withColumn("_inside", inside).join(offsets, "_bucket")
-            .withColumn(name, F.col("_offset") + F.col("_inside")).drop("_bucket", "_inside", "_offset"))
+    ranged = materialize(df.repartitionByRange(order_by).withColumn("_range", F.spark_partition_id()), "ranges")
+    running = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select(
+        "_range", F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_offset"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order_by)) - 1
+    return (ranged.withColumn("_inside", inside).join(offsets, "_range")
+            .withColumn(name, F.col("_offset") + F.col("_inside")).drop("_range", "_inside", "_offset"))

@@ -1,0 +1 @@
+"""Reading and writing declaration files, dictionaries, label configuration and tables."""
