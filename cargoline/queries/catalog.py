@@ -1,4 +1,14 @@
 """All registered queries."""
 
-from cargoline.queries import match_queries, text_queries  # noqa: F401
+from pyspark.sql import functions as F
+
+from cargoline.queries import match_queries, model_queries, text_queries  # noqa: F401
 from cargoline.queries.registry import ORACLES, QUERIES  # noqa: F401
+
+
+def flagship(spark, sf_dir):
+    """Classify every declaration; rows and share of each status."""
+    from cargoline.operators import report
+
+    out = model_queries.classified(spark, sf_dir)
+    return report.pattern_report(out, "status")

@@ -348,3 +348,84 @@ FROM (SELECT row_id, entry_id, kind, label_text, {_CONSUME} AS kept FROM (
         ORDER BY length(keyword) DESC, kw_pos, start) AS hits
     FROM ({_hit_sql(rows, name + '_kw')}) h GROUP BY row_id, entry_id) a) b""")
     cte(name, (rows, f"{name}_scored"), _decide_sql(rows, f"{name}_scored", K.MASKED_THRESHOLD))
+
+
+def bayes_ctes(name: str, train: str, rows: str, group: tuple[str, ...] = ("hs_code",)) -> None:
+    """``<name>`` = row_id, label, confidence, n_labels of a Naive Bayes trained on ``train(group, label, clean_text)``."""
+    g = ", ".join(group)
+    if f"{train}_nb_grams" not in CTES:
+        cte(f"{train}_nb_grams", (train,), f"""SELECT {g}, label, gram, count(*)::BIGINT AS c
+FROM (SELECT {g}, label, unnest({sql_ngrams('w')}) AS gram FROM (SELECT {g}, label, {sql_words('clean_text')} AS w
+      FROM {train}) a) b GROUP BY ALL""")
+        cte(f"{train}_nb_classes", (train, f"{train}_nb_grams"), f"""
+SELECT l.*, (sum(n_label) OVER (PARTITION BY {g}))::BIGINT AS n_group, coalesce(n_tokens, 0)::BIGINT AS n_tokens,
+  coalesce(vocab, 0)::BIGINT AS vocab
+FROM (SELECT {g}, label, count(*)::BIGINT AS n_label FROM {train} GROUP BY ALL) l
+LEFT JOIN (SELECT {g}, label, sum(c) AS n_tokens FROM {train}_nb_grams GROUP BY ALL) t USING ({g}, label)
+LEFT JOIN (SELECT {g}, count(DISTINCT gram) AS vocab FROM {train}_nb_grams GROUP BY ALL) v USING ({g})""")
+    gram_deps = (rows, f"{train}_nb_grams", f"{train}_nb_classes")
+    cte(f"{name}_tf", gram_deps, f"""SELECT row_id, {g}, gram, count(*)::BIGINT AS tf
+FROM (SELECT row_id, {g}, unnest({sql_ngrams('w')}) AS gram FROM (SELECT row_id, {g}, {sql_words('clean_text')} AS w
+      FROM {rows}) a) b GROUP BY ALL""")
+    cte(f"{name}_scores", (f"{name}_tf", *gram_deps), f"""
+SELECT row_id, label, round(ln(n_label / n_group) + coalesce(s.w, 0)
+    - coalesce(k.known, 0) * ln(greatest(n_tokens + vocab, 1)), 9) AS score
+FROM (SELECT row_id, {g} FROM {rows}) r JOIN {train}_nb_classes c USING ({g})
+LEFT JOIN (SELECT row_id, sum(tf) AS known FROM {name}_tf JOIN (SELECT DISTINCT {g}, gram FROM {train}_nb_grams) v
+           USING ({g}, gram) GROUP BY row_id{', ' + g if len(group) > 1 else ''}) k USING (row_id)
+LEFT JOIN (SELECT row_id, label, sum(tf * ln(c + 1)) AS w FROM {name}_tf JOIN {train}_nb_grams USING ({g}, gram)
+           GROUP BY row_id, label) s USING (row_id, label)""")
+    cte(name, (f"{name}_scores",), f"""
+SELECT row_id, arg_min(label, (-score, label)) AS label, 1 / sum(exp(score - best)) AS confidence,
+  count(*)::INT AS n_labels
+FROM (SELECT *, max(score) OVER (PARTITION BY row_id) AS best FROM {name}_scores) t GROUP BY row_id""")
+
+
+cte("gt_train", ("ground_truth",), f"SELECT hs_code, {LABEL4} AS label, clean_text FROM ground_truth")
+bayes_ctes("nb_new", "gt_train", "new_rows")
+weighted_ctes("eval_b", "new_rows", "dictionary_b", use_hs=True)
+cte("eval_phrase", ("new_rows", "dictionary"), phrase_sql("new_rows"))
+cte("eval_overlap", ("new_rows", "dictionary"), overlap_sql("new_rows"))
+cte("evaluation", ("new_rows", "eval_phrase", "eval_overlap", "eval_b", "nb_new"), f"""
+SELECT *, coalesce(dict_label, ai_label) AS predicted_label FROM (
+  SELECT r.row_id, r.hs_code, r.product_name, r.product_line, r.kind, r.class1, r.class2, r.source_file,
+    coalesce(p.product_line || ' | ' || p.kind || ' | ' || p.class1 || ' | ' || p.class2,
+             o.product_line || ' | ' || o.kind || ' | ' || o.class1 || ' | ' || o.class2) AS dict_label,
+    b.label_text AS dict_b_label, n.label AS ai_label, round(n.confidence * 100, 4) AS ai_confidence
+  FROM new_rows r LEFT JOIN eval_phrase p USING (row_id) LEFT JOIN eval_overlap o USING (row_id)
+  LEFT JOIN eval_b b USING (row_id) LEFT JOIN nb_new n USING (row_id)) t""")
+TRUTH = "(" + " || ' | ' || ".join(sql_label_part(c, c) for c in K.LABEL_COLUMNS) + ")"
+
+
+def right_sql(prediction: str) -> str:
+    return f"coalesce({prediction} IS NOT NULL AND {sql_normalize_combined(prediction)} = {TRUTH}, false)"
+
+
+cte("judged", ("evaluation",), f"""SELECT *, {TRUTH} AS truth, {right_sql('dict_label')} AS first_right,
+  {right_sql('dict_b_label')} AS second_right, {right_sql('ai_label')} AS model_right,
+  {right_sql('predicted_label')} AS predicted_right, {sql_normalize_combined('predicted_label')} AS predicted
+FROM evaluation""")
+cte("confusion", ("judged",), "SELECT truth, predicted, count(*)::BIGINT AS n FROM judged GROUP BY ALL")
+
+# --- cascade --------------------------------------------------------------------------------------------------------
+cte("open0", ("rows_", "ground_truth"), """SELECT r.* FROM rows_ r LEFT JOIN (SELECT hs_code, clean_text, 1 AS hit
+FROM ground_truth) g USING (hs_code, clean_text) WHERE hit IS NULL""")
+cte("c_phrase", ("open0", "dictionary"), phrase_sql("open0"))
+cte("open1", ("open0", "c_phrase"), "SELECT * FROM open0 WHERE row_id NOT IN (SELECT row_id FROM c_phrase)")
+cte("c_overlap", ("open1", "dictionary"), overlap_sql("open1"))
+cte("open2", ("open1", "c_overlap"), "SELECT * FROM open1 WHERE row_id NOT IN (SELECT row_id FROM c_overlap)")
+bayes_ctes("c_bayes", "gt_train", "open2")
+_M = [f"coalesce(string_split(label, ' | ')[{i + 1}], '')" for i in range(4)]
+cte("cascade", ("rows_", "ground_truth", "c_phrase", "c_overlap", "open2", "c_bayes"), f"""
+SELECT r.row_id, l.product_line, l.kind, l.class1, l.class2, l.status, l.confidence, r.hs_code, r.source_file,
+  r.clean_text, r.product_name
+FROM rows_ r JOIN (
+  SELECT row_id, g.product_line, g.kind, g.class1, g.class2, 'auto_history' AS status, 1.0::DOUBLE AS confidence
+  FROM rows_ JOIN ground_truth g USING (hs_code, clean_text)
+  UNION ALL SELECT row_id, {_L4}, 'auto_dictionary', 1.0 FROM c_phrase
+  UNION ALL SELECT row_id, {_L4}, 'auto_dictionary', 1.0 FROM c_overlap
+  UNION ALL SELECT row_id, CASE WHEN ok THEN {_M[0]} ELSE '' END, CASE WHEN ok THEN {_M[1]} ELSE '' END,
+    CASE WHEN ok THEN {_M[2]} ELSE '' END, CASE WHEN ok THEN {_M[3]} ELSE '' END,
+    CASE WHEN n_labels = 1 THEN 'auto_single' WHEN ok THEN 'auto_model' ELSE 'review' END, coalesce(confidence, 0.0)
+  FROM (SELECT *, coalesce(n_labels = 1 OR confidence >= 0.85, false) AS ok FROM open2 LEFT JOIN c_bayes USING (row_id)) b
+) l USING (row_id)""")
