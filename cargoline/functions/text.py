@@ -62,20 +62,34 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda w: w != "")
 
 
-def tokens(text: Column, stopwords: Sequence[str] = K.LABEL_STOPWORDS) -> Column:
-    """Words of at least two characters that are not stop words."""
-    return F.filter(F.split(text, " "), lambda w: (F.length(w) > 1) & ~w.isin(list(stopwords)))
-
-
-def is_keyword_token(token: Column, stopwords: Sequence[str] = K.LABEL_STOPWORDS) -> Column:
-    """A token that can make a phrase a keyword: no stop word, three characters, not code-like, two letters in a row."""
-    return (
-        ~token.isin(list(stopwords))
-        & (F.length(token) >= 3)
-        & ~token.rlike(r"(?U)^\d")
-        & ~token.rlike(r"(?U)^(\d+[a-z]+|[a-z]+\d+)$")
-        & token.rlike(_TWO_LETTERS)
-    )
+def _in(values: Sequence[str]) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
+
+
+def without(words_: str, stopwords: Sequence[str], min_length: int = 1) -> Column:
+    """Array column named ``words_`` without stop words and shorter words.
+
+    Written as SQL text, so that a long word list is one expression and becomes a hash set, not a chain of literals.
+    """
+    return F.expr(f"filter({words_}, w -> length(w) >= {min_length} AND w NOT IN {_in(stopwords)})")
+
+
+def tokens(text: str, stopwords: Sequence[str] = K.LABEL_STOPWORDS) -> Column:
+    """Words of the text column named ``text`` that have at least two characters and are no stop words."""
+    return without(f"split({text}, ' ')", stopwords, 2)
+
+
+def is_keyword(gram: str, stopwords: Sequence[str] = K.LABEL_STOPWORDS,
+               excluded: Sequence[str] = K.KEYWORD_STOPWORDS) -> Column:
+    """A phrase (column name) that can be a keyword: one word of it carries meaning, none of it is excluded.
+
+    A word carries meaning when it is no stop word, has three characters, does not start with a digit, is not code-like
+    and has two letters in a row.
+    """
+    words_ = f"split({gram}, ' ')"
+    meaning = (f"w NOT IN {_in(stopwords)} AND length(w) >= 3 AND NOT w RLIKE r'(?U)^\d' "
+               f"AND NOT w RLIKE r'(?U)^(\d+[a-z]+|[a-z]+\d+)$' AND w RLIKE '{_TWO_LETTERS}'")
+    return F.expr(f"exists({words_}, w -> {meaning}) AND NOT exists({words_}, w -> w IN {_in(excluded)})")
 
 
 def bind(value: Column, body) -> Column:

@@ -116,13 +116,11 @@ def keyword_candidates(rows: DataFrame, by: Sequence[str], tokens_col: str = "to
     local = gram_frequencies(rows, by, tokens_col).withColumnRenamed("n_rows", "lf")
     # counts per class are final here: a window partition holds one row per class that has the gram
     scored = local.withColumn("gf", F.sum("lf").over(Window.partitionBy("gram")))
-    words_ = F.split("gram", " ")
-    valid = F.exists(words_, lambda w: text.is_keyword_token(w)) & ~F.exists(words_, lambda w: w.isin(K.KEYWORD_STOPWORDS))
     bonus = F.when(text.any_term(F.col("gram"), K.KEYWORD_BONUS_TERMS), F.lit(5)).otherwise(F.lit(0))
-    base = F.size(words_) + bonus
+    base = F.size(F.split("gram", " ")) + bonus
     purity = F.col("lf") / F.col("gf")
     score = purity * 50 + (F.col("lf") * 2) * base if scoring == "linear" else F.col("lf") * purity * purity * base
-    return scored.where(valid & (purity >= min_purity)).withColumn("score", F.round(score, 6))
+    return scored.where(text.is_keyword("gram") & (purity >= min_purity)).withColumn("score", F.round(score, 6))
 
 
 def top_keywords(candidates: DataFrame, by: Sequence[str], limit: int = 15, window: int = 1000) -> DataFrame:
@@ -194,13 +192,14 @@ def fill_labels(df: DataFrame, taxonomy: DataFrame | None = None) -> DataFrame:
 
 
 def _zero_labels(rows: DataFrame) -> DataFrame:
-    return rows.withColumns({c: F.trim(F.coalesce(c, F.lit("0"))) for c in K.LABEL_COLUMNS})
+    return rows.withColumns({c: F.expr(f"trim(coalesce({c}, '0'))") for c in K.LABEL_COLUMNS})
 
 
 def mining_rows(rows: DataFrame) -> DataFrame:
     """Rows for keyword mining: digits-only code, deep-cleaned tokens, null label parts as '0'."""
-    tokens = text.tokens(text.clean_deep(F.col("product_name")), K.LABEL_STOPWORDS)
-    return _zero_labels(rows).withColumn("hs_code", codes.hs_digits(F.col("hs_code"))).withColumn("tokens", tokens)
+    keyed = _zero_labels(rows).withColumns({"hs_code": codes.hs_digits(F.col("hs_code")),
+                                            "_deep": text.clean_deep(F.col("product_name"))})
+    return keyed.withColumn("tokens", text.tokens("_deep", K.LABEL_STOPWORDS)).drop("_deep")
 
 
 def label_words(columns: Sequence[str] = K.LABEL_COLUMNS) -> Column:
@@ -231,8 +230,9 @@ def draft_groups(rows: DataFrame) -> DataFrame:
     from cargoline.operators.joins import number_sorted
 
     by = ["hs_code", *K.LABEL_COLUMNS]
-    kept = _zero_labels(rows).withColumn("hs_code", codes.hs_digits(F.col("hs_code")))
-    kept = kept.where(F.size(text.tokens(text.clean_deep(F.col("product_name")), K.TEXT_STOPWORDS)) > 0)
+    kept = _zero_labels(rows).withColumns({"hs_code": codes.hs_digits(F.col("hs_code")),
+                                           "_deep": text.clean_deep(F.col("product_name"))})
+    kept = kept.where(F.size(text.tokens("_deep", K.TEXT_STOPWORDS)) > 0)
     groups = kept.groupBy(*by).agg(F.count("*").alias("n_products"),
                                    F.min(F.struct("row_id", "product_name")).alias("first"))
     flat = groups.select(*by, "n_products", F.col("first.row_id").alias("first_row"),

@@ -84,3 +84,16 @@ def confident_line(code: Column, line: Column, mapped_line: Column, confidence:
                    threshold: float = K.OVERRIDE_CONFIDENCE) -> Column:
     """The mapped product line where its share is high enough, else the line at hand."""
     return F.when(F.coalesce(confidence >= threshold, F.lit(False)), mapped_line).otherwise(line)
+
+
+def merge_dictionaries(by_priority: dict[int, DataFrame]) -> DataFrame:
+    """Keywords of several active dictionaries; the same keyword of a code belongs to the highest priority, then to the
+    first entry. One row per (code, keyword)."""
+    union = None
+    for priority, dictionary in by_priority.items():
+        part = dictionary.select("hs_code", F.explode("keywords").alias("keyword"), F.lit(priority).alias("priority"),
+                                 "entry_id", *K.LABEL_COLUMNS)
+        union = part if union is None else union.unionByName(part)
+    best = F.min(F.struct((-F.col("priority")).alias("order"), "entry_id", "priority", *K.LABEL_COLUMNS))
+    return union.groupBy("hs_code", "keyword").agg(best.alias("b")).select(
+        "hs_code", "keyword", "b.priority", "b.entry_id", *[F.col(f"b.{c}") for c in K.LABEL_COLUMNS])

@@ -94,16 +94,16 @@ def match_overlap(rows: DataFrame, dictionary: DataFrame, threshold: float = K.O
 def overlap_hits(rows: DataFrame, dictionary: DataFrame, threshold: float = K.OVERLAP_THRESHOLD,
                  stopwords: Sequence[str] = K.OVERLAP_STOPWORDS) -> DataFrame:
     """``match_overlap`` for rows whose texts are distinct already."""
-    def signature(words_: Column) -> Column:
-        return F.array_distinct(F.filter(words_, lambda w: (w != "") & ~w.isin(list(stopwords))))
-
-    entries = dictionary.select("entry_id", "hs_code", signature(F.flatten(F.transform(
-        "keywords", lambda k: F.split(text.strip(k), r"\s+")))).alias("words"))
+    entry_words = dictionary.select("entry_id", "hs_code", F.expr(
+        "flatten(transform(keywords, k -> split(trim(k), ' +')))").alias("all_words"))
+    entries = entry_words.select("entry_id", "hs_code", F.array_sort(F.array_distinct(
+        text.without("all_words", stopwords))).alias("words"))
     # entries of one code with the same words score alike and the first one wins, so one of them is enough
-    entries = (entries.groupBy("hs_code", F.array_sort("words").alias("words")).agg(F.min("entry_id").alias("entry_id"))
-               .select("hs_code", "entry_id", F.size("words").alias("n_entry"), F.explode("words").alias("word")))
-    words_ = rows.select("row_id", "hs_code", signature(F.split("clean_text", " ")).alias("words"))
-    words_ = words_.select("row_id", "hs_code", F.size("words").alias("n_text"), F.explode("words").alias("word"))
+    entries = (entries.groupBy("hs_code", "words").agg(F.min("entry_id").alias("entry_id"))
+               .selectExpr("hs_code", "entry_id", "size(words) AS n_entry", "explode(words) AS word"))
+    words_ = rows.select("row_id", "hs_code", F.array_distinct(
+        text.without("split(clean_text, ' ')", stopwords)).alias("words"))
+    words_ = words_.selectExpr("row_id", "hs_code", "size(words) AS n_text", "explode(words) AS word")
     shared = (words_.join(entries, ["hs_code", "word"]).groupBy("row_id", "entry_id", "n_text", "n_entry")
               .agg(F.count("*").alias("n_shared"), F.sum(F.length("word")).alias("shared_length")))
     score = F.col("n_shared") / F.least("n_text", "n_entry") * F.col("shared_length")

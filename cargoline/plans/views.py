@@ -39,67 +39,76 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+_FAMILY = ("CASE p_type WHEN 'ECONOMY' THEN '9405' WHEN 'SMALL' THEN '8539' WHEN 'MEDIUM' THEN '9617' "
+           "WHEN 'PROMO' THEN '7020' WHEN 'STANDARD' THEN '8516' WHEN 'LARGE' THEN '8504' END")
+
+#: goods part of a declaration: what classification needs
+_GOODS = {
+    "row_id": "o_orderkey",
+    "hs_code": "CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN concat(code, '.0') ELSE code END",
+    "detailed_product": "CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 3 = 0 "
+                        "THEN concat('SKU', l_partkey, '#&', upper(base), '#&VN') ELSE base END",
+    "detailed_product_en": "base",
+    "product_line": "concat('SP ', p_type)",
+    "kind": "CASE WHEN noun IN ('bolt', 'gear', 'ring', 'rod') THEN 'LK' ELSE 'NC' END",
+    "class1": "noun",
+    "class2": "CASE WHEN o_orderkey % 50 = 0 THEN 'khác' ELSE adjective END",
+    "source_file": "concat('file_', o_orderkey % 4)",
+    "order_date": "to_date(o_orderdate)",
+}
+
+#: trade part: parties, amounts, dates
+_TRADE = {
+    "vn_importer": "c_name",
+    "foreign_exporter": "s_name",
+    "origin_country": "n_name",
+    "continent": "r_name",
+    "quantity": "CASE WHEN o_orderkey % 89 = 0 THEN 'n/a' WHEN hundred >= 1000 THEN concat(hundred div 1000, ',', "
+                "lpad(hundred % 1000, 3, '0')) ELSE string(hundred) END",
+    "total_value_usd": "CASE WHEN o_orderkey % 89 = 0 THEN 'n/a' ELSE concat('$', l_extendedprice) END",
+    "unit_price_usd": "CASE WHEN o_orderkey % 89 = 0 THEN 'n/a' "
+                      "ELSE concat(floor(l_extendedprice / l_quantity * 100) / 100D, ' USD') END",
+    "date": "CASE WHEN o_orderkey % 83 = 0 THEN 'bad-date' WHEN o_orderkey % 2 = 1 "
+            "THEN date_format(o_orderdate, 'dd/MM/yyyy') ELSE date_format(o_orderdate, 'yyyy-MM-dd') END",
+    "month": "date_format(o_orderdate, 'yyyyMM')",
+    "unit_qty": "l_returnflag",
+    "incoterms": "o_orderpriority",
+    "method_of_payment": "c_mktsegment",
+}
+
+
+def _goods(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the first line of each order as one aggregate: partial aggregation shrinks the lines before the shuffle,
     # where a window would send every line through it
     first_line = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"))
-        .agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-                            "l_returnflag")).alias("line"))
-        .select("o_orderkey", "line.*")
+        table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+        .agg(F.expr("min(struct(l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag)) AS line"))
+        .selectExpr("l_orderkey AS o_orderkey", "line.*")
     )
-    joined = (
+    return (
         first_line.join(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
+        .selectExpr("*", "split(p_name, ' ')[1] AS noun", "split(p_name, ' ')[0] AS adjective",
+                    "concat(p_name, ' ', p_size, 'W ', p_brand, ' mới 100%') AS base",
+                    f"concat({_FAMILY}, lpad(p_size % 8, 2, '0'), '90') AS code",
+                    "bigint(l_quantity * 100) AS hundred")
+    )
+
+
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = (
+        _goods(spark, sf_dir)
         .join(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey")
         .join(table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey")
         .join(table(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "s_nationkey"), "s_nationkey")
         .join(table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey")
     )
-    row = F.col("o_orderkey")
-    every = lambda n: row % n == 0
-    noun, adjective = F.split("p_name", " ")[1], F.split("p_name", " ")[0]
-    base = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("W "), "p_brand", F.lit(" mới 100%"))
-    family = F.create_map(*[F.lit(x) for x in (
-        "ECONOMY", "9405", "SMALL", "8539", "MEDIUM", "9617", "PROMO", "7020", "STANDARD", "8516", "LARGE", "8504")])
-    code = F.concat(family[F.col("p_type")], F.lpad((F.col("p_size") % 8).cast("string"), 2, "0"), F.lit("90"))
-    hundred = (F.col("l_quantity") * 100).cast("bigint")
-    quantity = F.when(
-        hundred >= 1000,
-        F.concat(F.floor(hundred / 1000).cast("string"), F.lit(","), F.lpad((hundred % 1000).cast("string"), 3, "0")),
-    ).otherwise(hundred.cast("string"))
-    price = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100
-    junk = lambda c: F.when(every(89), F.lit("n/a")).otherwise(c)
-    return joined.select(
-        row.alias("row_id"),
-        F.when(every(101), F.lit("")).when(every(5), F.concat(code, F.lit(".0"))).otherwise(code).alias("hs_code"),
-        F.when(every(97), F.lit(None).cast("string"))
-        .when(every(3), F.concat(F.lit("SKU"), F.col("l_partkey").cast("string"), F.lit("#&"), F.upper(base),
-                                 F.lit("#&VN")))
-        .otherwise(base).alias("detailed_product"),
-        base.alias("detailed_product_en"),
-        F.col("c_name").alias("vn_importer"),
-        F.col("s_name").alias("foreign_exporter"),
-        F.col("n_name").alias("origin_country"),
-        F.col("r_name").alias("continent"),
-        junk(quantity).alias("quantity"),
-        junk(F.concat(F.lit("$"), F.col("l_extendedprice").cast("string"))).alias("total_value_usd"),
-        junk(F.concat(price.cast("string"), F.lit(" USD"))).alias("unit_price_usd"),
-        F.when(every(83), F.lit("bad-date"))
-        .when(row % 2 == 1, F.date_format("o_orderdate", "dd/MM/yyyy"))
-        .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"),
-        F.date_format("o_orderdate", "yyyyMM").alias("month"),
-        F.col("l_returnflag").alias("unit_qty"),
-        F.col("o_orderpriority").alias("incoterms"),
-        F.col("c_mktsegment").alias("method_of_payment"),
-        F.concat(F.lit("SP "), "p_type").alias("product_line"),
-        F.when(noun.isin("bolt", "gear", "ring", "rod"), F.lit("LK")).otherwise(F.lit("NC")).alias("kind"),
-        noun.alias("class1"),
-        F.when(every(50), F.lit("khác")).otherwise(adjective).alias("class2"),
-        F.concat(F.lit("file_"), (row % 4).cast("string")).alias("source_file"),
-        F.to_date("o_orderdate").alias("order_date"),
-    )
+    return joined.selectExpr(*[f"{e} AS {c}" for c, e in {**_GOODS, **_TRADE}.items()])
+
+
+def goods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations without their trade part: spares the party joins where only goods matter."""
+    return _goods(spark, sf_dir).selectExpr(*[f"{e} AS {c}" for c, e in _GOODS.items()])
 
 
 #: raw column names of a declaration file, by view column
@@ -119,12 +128,11 @@ def raw_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Declarations ready for matching: plain code, resolved description and cleaned text."""
-    df = declarations(spark, sf_dir)
-    product = F.coalesce(F.when(F.trim("detailed_product") != "", F.col("detailed_product")),
-                         F.col("detailed_product_en"))
-    return (df.withColumn("hs_code", codes.hs_plain(F.col("hs_code"))).withColumn("product_name", product)
-            .withColumn("clean_text", text.clean_basic(F.col("product_name"))))
+    """Goods of the declarations ready for matching: plain code, resolved description and cleaned text."""
+    df = goods(spark, sf_dir).withColumn("product_name", F.expr(
+        "coalesce(CASE WHEN trim(detailed_product) <> '' THEN detailed_product END, detailed_product_en)"))
+    return df.withColumns({"hs_code": codes.hs_plain(F.col("hs_code")),
+                           "clean_text": text.clean_basic(F.col("product_name"))})
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,7 @@
 """All registered queries."""
 
-from pyspark.sql import functions as F
-
-from cargoline.queries import match_queries, model_queries, text_queries  # noqa: F401
+from cargoline.queries import (file_queries, knowledge_queries, match_queries, model_queries,  # noqa: F401
+                               standard_queries, text_queries)
 from cargoline.queries.registry import ORACLES, QUERIES  # noqa: F401
 
 

@@ -9,28 +9,14 @@ from cargoline.functions import text
 from cargoline.operators import dictionary as D
 from cargoline.operators import knowledge, match
 from cargoline.plans import views
+from cargoline.plans.shared import dictionary, dictionary_b, ground_truth
 from cargoline.queries.oracle import (CTES, cte, masked_ctes, overlap_sql, phrase_sql, sql_clean_basic, sql_words,
                                       weighted_ctes)
 from cargoline.queries.registry import query
-from cargoline.session import materialize
 
 L4 = "product_line, kind, class1, class2"
 
 
-def ground_truth(spark, sf_dir):
-    """The ground-truth table, written once: several jobs read it."""
-    return materialize(knowledge.build_ground_truth(views.history(spark, sf_dir)), "ground_truth")
-
-
-def dictionary(spark, sf_dir):
-    """The supervised dictionary over the labelled history, written once."""
-    return materialize(D.build_dictionary(ground_truth(spark, sf_dir)), "dictionary")
-
-
-def dictionary_b(spark, sf_dir):
-    return materialize(D.build_labelled_dictionary(views.history(spark, sf_dir)), "dictionary_b")
-
-
 @query("ground_truth_build", ("ground_truth",), "SELECT * FROM ground_truth")
 def ground_truth_build(spark, sf_dir):
     return knowledge.build_ground_truth(views.history(spark, sf_dir))

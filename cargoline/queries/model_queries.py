@@ -10,10 +10,9 @@ from cargoline.operators import classifier, knowledge, match
 from cargoline.operators import dictionary as D
 from cargoline.operators import evaluate as E
 from cargoline.plans import cascade, views
-from cargoline.queries.match_queries import dictionary, dictionary_b, ground_truth
+from cargoline.plans.shared import dictionary, dictionary_b, ground_truth, model
 from cargoline.queries.oracle import LABEL4, bayes_ctes, cte, q, sql_label_part, sql_squeeze, weighted_ctes
 from cargoline.queries.registry import query
-from cargoline.session import materialize
 
 L4 = ", ".join(K.LABEL_COLUMNS)
 
@@ -22,14 +21,10 @@ def labelled(gt):
     return gt.withColumn("label", labels.combine(*K.LABEL_COLUMNS))
 
 
-def model_of(gt):
-    return classifier.train(labelled(gt))
-
-
 def classified(spark, sf_dir):
     """All declarations through the cascade."""
-    gt = ground_truth(spark, sf_dir)
-    return cascade.classify(views.rows(spark, sf_dir), gt, materialize(D.build_dictionary(gt), "dictionary"), model_of(gt))
+    return cascade.classify(views.rows(spark, sf_dir), ground_truth(spark, sf_dir), dictionary(spark, sf_dir),
+                            model(spark, sf_dir))
 
 
 bayes_ctes("nb_docs", "corpus", "corpus")
@@ -43,9 +38,9 @@ def nb_train(spark, sf_dir):
 
 @query("nb_predict", ("nb_new",), "SELECT row_id, label, round(confidence, 6) AS confidence, n_labels FROM nb_new")
 def nb_predict(spark, sf_dir):
-    model = model_of(ground_truth(spark, sf_dir))
+    trained = model(spark, sf_dir)
     found = match.once_per_text(views.new_rows(spark, sf_dir),
-                                lambda texts: classifier.predict(model, texts).drop("hs_code"), ["hs_code", "clean_text"])
+                                lambda texts: classifier.predict(trained, texts).drop("hs_code"), ["hs_code", "clean_text"])
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
@@ -82,9 +77,9 @@ def single_label_predict(spark, sf_dir):
 FROM (SELECT *, CASE WHEN n_labels = 1 THEN 'auto_single' WHEN confidence >= 0.85 THEN 'auto_model' ELSE 'review' END AS status
       FROM nb_new) t""")
 def confidence_gate(spark, sf_dir):
-    model = model_of(ground_truth(spark, sf_dir))
+    trained = model(spark, sf_dir)
     found = match.once_per_text(views.new_rows(spark, sf_dir),
-                                lambda texts: classifier.predict(model, texts).drop("hs_code"), ["hs_code", "clean_text"])
+                                lambda texts: classifier.predict(trained, texts).drop("hs_code"), ["hs_code", "clean_text"])
     return classifier.gate(found.withColumn("confidence", F.round("confidence", 8))).select("row_id", "status", "status_text")
 
 
@@ -105,8 +100,8 @@ bayes_ctes("nb_levels", "level_train", "level_rows", ("hs_code", "level"))
     f"max(label) FILTER (WHERE string_split(row_id, '/')[2] = '{c}') AS {c}" for c in K.LABEL_COLUMNS) + """,
   round(exp(sum(ln(confidence))), 6) AS joint_confidence FROM nb_levels GROUP BY 1""")
 def multilevel_predict(spark, sf_dir):
-    model = classifier.train(classifier.by_level(ground_truth(spark, sf_dir)), ["hs_code", "level"])
-    found = match.once_per_text(views.new_rows(spark, sf_dir), lambda texts: classifier.predict_levels(model, texts),
+    trained = classifier.train(classifier.by_level(ground_truth(spark, sf_dir)), ["hs_code", "level"])
+    found = match.once_per_text(views.new_rows(spark, sf_dir), lambda texts: classifier.predict_levels(trained, texts),
                                 ["hs_code", "clean_text"])
     return found.withColumn("joint_confidence", F.round("joint_confidence", 6))
 
@@ -131,7 +126,7 @@ def semantic_dedup(spark, sf_dir):
 
 def _synthetic(spark, sf_dir):
     gt = ground_truth(spark, sf_dir)
-    return classifier.synthetic_rows(materialize(D.build_dictionary(gt), "dictionary"), knowledge.label_mapping(gt)), gt
+    return classifier.synthetic_rows(dictionary(spark, sf_dir), knowledge.label_mapping(gt)), gt
 
 
 _NORM = {c: sql_label_part(c, c) for c in K.LABEL_COLUMNS}
