@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cargoline import constants as K
 from cargoline.operators import taxonomy
 from cargoline.plans import shared, views
-from cargoline.queries.oracle import cte
+from cargoline.queries.oracle import _no_label, cte
 from cargoline.queries.registry import query
 from cargoline.session import scratch_path
 from cargoline.sources import files, tables
@@ -88,12 +88,11 @@ FROM declarations""")
 def sink_csv_roundtrip(spark, sf_dir):
     path = scratch_path(spark, "csv")
     files.write_csv(views.declarations(spark, sf_dir).select("row_id", "hs_code", "detailed_product", "quantity"), path)
-    return spark.read.schema("row_id string, hs_code string, detailed_product string, quantity string").option(
-        "header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return files.read_csv(spark, path, "row_id string, hs_code string, detailed_product string, quantity string")
 
 
-@query("dict_load", ("dictionary",), f"""SELECT array_to_string(keywords, ', ') AS keywords, product_line, kind, class1, class2, hs_code
-FROM dictionary""")
+@query("dict_load", ("dictionary",), f"""SELECT array_to_string(keywords, ', ') AS keywords,
+  {', '.join(f"{_no_label(c)} AS {c}" for c in [*K.LABEL_COLUMNS, 'hs_code'])} FROM dictionary""")
 def dict_load(spark, sf_dir):
     """The dictionary in its exchange format, written and loaded."""
     path = scratch_path(spark, "dict")

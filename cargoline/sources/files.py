@@ -123,8 +123,13 @@ def merge(frames: Mapping[str, DataFrame], overrides: Mapping[str, str] | None =
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; values are quoted where needed and null stays apart from empty text."""
-    df.write.option("header", True).option("escape", '"').option("emptyValue", '""').csv(path)
+    """CSV with header; embedded quotes are doubled, empty text is quoted and so stays apart from null."""
+    df.write.option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``write_csv`` wrote, with empty text and null as they were. No value can equal the null marker used here."""
+    return spark.read.schema(schema).options(header=True, escape='"', nullValue="\u0001").csv(path)
 
 
 def write_slices(df: DataFrame, path: str) -> None:
