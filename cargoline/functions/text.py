@@ -87,8 +87,8 @@ def is_keyword(gram: str, stopwords: Sequence[str] = K.LABEL_STOPWORDS,
     and has two letters in a row.
     """
     words_ = f"split({gram}, ' ')"
-    meaning = (f"w NOT IN {_in(stopwords)} AND length(w) >= 3 AND NOT w RLIKE r'(?U)^\d' "
-               f"AND NOT w RLIKE r'(?U)^(\d+[a-z]+|[a-z]+\d+)$' AND w RLIKE '{_TWO_LETTERS}'")
+    meaning = (f"w NOT IN {_in(stopwords)} AND length(w) >= 3 AND NOT w RLIKE r'(?U)^\\d' "
+               f"AND NOT w RLIKE r'(?U)^(\\d+[a-z]+|[a-z]+\\d+)$' AND w RLIKE '{_TWO_LETTERS}'")
     return F.expr(f"exists({words_}, w -> {meaning}) AND NOT exists({words_}, w -> w IN {_in(excluded)})")
 
 

@@ -1,6 +1,6 @@
 """Declaration-shaped views over the order tables, used by the registered queries.
 
-One declaration per order that has a line item. A declaration carries an HS code, a free-text description and the label
+One declaration per order that has a line item; some have an unknown code or a description that says nothing. A declaration carries an HS code, a free-text description and the label
 parts; orders before ``HISTORY_END`` form the labelled history, later ones are new declarations.
 """
 
@@ -45,7 +45,7 @@ _FAMILY = ("CASE p_type WHEN 'ECONOMY' THEN '9405' WHEN 'SMALL' THEN '8539' WHEN
 #: goods part of a declaration: what classification needs
 _GOODS = {
     "row_id": "o_orderkey",
-    "hs_code": "CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN concat(code, '.0') ELSE code END",
+    "hs_code": "CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 103 = 0 THEN '99999999' WHEN o_orderkey % 5 = 0 THEN concat(code, '.0') ELSE code END",
     "detailed_product": "CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 3 = 0 "
                         "THEN concat('SKU', l_partkey, '#&', upper(base), '#&VN') ELSE base END",
     "detailed_product_en": "base",
@@ -89,7 +89,8 @@ def _goods(spark: SparkSession, sf_dir: str) -> DataFrame:
         first_line.join(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
         .selectExpr("*", "split(p_name, ' ')[1] AS noun", "split(p_name, ' ')[0] AS adjective",
-                    "concat(p_name, ' ', p_size, 'W ', p_brand, ' mới 100%') AS base",
+                    "CASE WHEN o_orderkey % 107 = 0 THEN 'Sản phẩm không xác định' "
+                    "ELSE concat(p_name, ' ', p_size, 'W ', p_brand, ' mới 100%') END AS base",
                     f"concat({_FAMILY}, lpad(p_size % 8, 2, '0'), '90') AS code",
                     "bigint(l_quantity * 100) AS hundred")
     )

@@ -106,7 +106,7 @@ FAMILY = ("CASE p_type WHEN 'ECONOMY' THEN '9405' WHEN 'SMALL' THEN '8539' WHEN
 
 cte("declarations", (), f"""
 SELECT o_orderkey AS row_id,
-  CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 5 = 0 THEN code || '.0' ELSE code END AS hs_code,
+  CASE WHEN o_orderkey % 101 = 0 THEN '' WHEN o_orderkey % 103 = 0 THEN '99999999' WHEN o_orderkey % 5 = 0 THEN code || '.0' ELSE code END AS hs_code,
   CASE WHEN o_orderkey % 97 = 0 THEN NULL
        WHEN o_orderkey % 3 = 0 THEN 'SKU' || l_partkey || '#&' || upper(base) || '#&VN' ELSE base END AS detailed_product,
   base AS detailed_product_en, c_name AS vn_importer, s_name AS foreign_exporter, n_name AS origin_country,
@@ -126,7 +126,8 @@ SELECT o_orderkey AS row_id,
   'file_' || (o_orderkey % 4) AS source_file, o_orderdate::DATE AS order_date
 FROM (
   SELECT *, string_split(p_name, ' ')[2] AS noun, string_split(p_name, ' ')[1] AS adjective,
-    p_name || ' ' || p_size || 'W ' || p_brand || ' mới 100%' AS base,
+    CASE WHEN o_orderkey % 107 = 0 THEN 'Sản phẩm không xác định'
+      ELSE p_name || ' ' || p_size || 'W ' || p_brand || ' mới 100%' END AS base,
     ({FAMILY}) || lpad((p_size % 8)::VARCHAR, 2, '0') || '90' AS code, (l_quantity * 100)::BIGINT AS hundred
   FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
           l_suppkey, l_quantity, l_extendedprice, l_returnflag) = 1) l
