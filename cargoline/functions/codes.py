@@ -46,3 +46,8 @@ def month_of(date: Column, month_text: Column) -> Column:
 
 def iso_date(date: Column) -> Column:
     return F.coalesce(F.date_format(date, "yyyy-MM-dd"), F.lit(""))
+
+
+def month_name(month: Column) -> Column:
+    """Month as text in the older table form; empty when there is none."""
+    return F.coalesce(F.concat(F.lit("Tháng "), month.cast("string")), F.lit(""))

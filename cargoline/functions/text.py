@@ -180,19 +180,23 @@ def strip_hyphens(text: Column) -> Column:
 
 def text_variants(text: Column, limit: int = 3) -> Column:
     """Up to ``limit`` shortened forms of a text, in a fixed order: head, head and tail, rest, then listed pieces."""
-    base = strip(F.lower(F.coalesce(text, F.lit(""))))
-    parts = F.filter(F.split(base, r"(?U)\s+"), lambda w: w != "")
-    n = F.size(parts)
-    pick = lambda cond, arr: F.when(cond, F.array(F.array_join(arr, " "))).otherwise(no_strings())
-    pieces = F.transform(F.split(base, "[,;/]"), strip)
-    candidates = F.concat(
-        pick(n >= 4, F.slice(parts, 1, 3)),
-        pick(n >= 4, F.concat(F.slice(parts, 1, 2), F.slice(parts, -1, 1))),
-        pick(n >= 3, F.slice(parts, 2, F.greatest(n - 1, F.lit(1)))),
-        pieces,
-    )
-    kept = F.filter(candidates, lambda v: (F.size(F.split(v, r"(?U)\s+")) >= 2) & (v != base))
-    return F.slice(F.array_distinct(kept), 1, limit)
+
+    def of(base: Column) -> Column:
+        def with_parts(parts: Column) -> Column:
+            n = F.size(parts)
+            pick = lambda cond, arr: F.when(cond, F.array(F.array_join(arr, " "))).otherwise(no_strings())
+            candidates = F.concat(
+                pick(n >= 4, F.slice(parts, 1, 3)),
+                pick(n >= 4, F.concat(F.slice(parts, 1, 2), F.slice(parts, -1, 1))),
+                pick(n >= 3, F.slice(parts, 2, F.greatest(n - 1, F.lit(1)))),
+                F.transform(F.split(base, "[,;/]"), strip),
+            )
+            kept = F.filter(candidates, lambda v: v.rlike(r"(?U)\S\s+\S") & (v != base))
+            return F.slice(F.array_distinct(kept), 1, limit)
+
+        return bind(F.filter(F.split(base, r"(?U)\s+"), lambda w: w != ""), with_parts)
+
+    return bind(strip(F.lower(F.coalesce(text, F.lit("")))), of)
 
 
 def split_keywords(text: Column, min_words: int = 1) -> Column:

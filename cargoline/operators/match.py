@@ -218,7 +218,8 @@ def match_masked(rows: DataFrame, dictionary: DataFrame, threshold: float = K.MA
                  junk: Sequence[str] = K.MASKED_JUNK_TERMS) -> DataFrame:
     """Per-entry matching with masking: inside an entry the longest keywords go first and blank what they match.
 
-    A keyword scores once: 20 with a high-value term, nothing as a junk term, else its number of words.
+    A keyword scores once: 20 with a high-value term, nothing as a junk term, else its number of words. Rows that stay
+    below the threshold have score 0.
     """
     return once_per_text(rows, lambda texts: masked_hits(texts, dictionary, threshold, high_value, junk), ["clean_text"])
 
@@ -233,10 +234,18 @@ def masked_hits(rows: DataFrame, dictionary: DataFrame, threshold: float = K.MAS
     table = _clean_keywords(entries, "entry_id", "kind")
     table = table.groupBy("entry_id", "kind", "keyword").agg(F.min("kw_pos").alias("kw_pos"))
     table = table.withColumn("weight", keyword_weight(F.col("keyword"), high_value, 20, junk, lambda n: n))
-    spans = _hits(rows, table, ["row_id"]).groupBy("row_id", "entry_id", "kind").agg(
+    # spans that count do not overlap, so without a high-value term no score exceeds the number of words of the text:
+    # most short descriptions are settled here, before any n-gram
+    open_rows = rows.where((F.size(text.words(F.col("clean_text"))) >= threshold)
+                           | text.any_term(F.col("clean_text"), high_value))
+    hits = _hits(open_rows, table, ["row_id"])
+    # the sum over all hits bounds the score from above; it folds in the map tasks, and only entries that can reach the
+    # threshold have their hits put in order
+    able = hits.groupBy("row_id", "entry_id").agg(F.sum("weight").alias("bound")).where(F.col("bound") >= threshold)
+    spans = hits.join(able.drop("bound"), ["row_id", "entry_id"], "left_semi").groupBy("row_id", "entry_id", "kind").agg(
         F.array_sort(F.collect_list(F.struct((-F.length("keyword")).alias("neg_length"), "kw_pos", "start", "stop",
                                              "weight"))).alias("hits"))
     scoring = F.array_distinct(F.transform(consume(F.col("hits")), lambda h: F.struct(h.kw_pos, h.weight)))
     total = F.aggregate(scoring, F.lit(0.0), lambda acc, s: acc + s.weight)
-    scored = spans.select("row_id", "entry_id", "kind", total.alias("score"))
+    scored = spans.select("row_id", "entry_id", "kind", total.alias("score")).where(F.col("score") >= threshold)
     return _decide(_pick(scored, "entry_id"), rows, entries, threshold)

@@ -23,7 +23,8 @@ _built: dict[tuple[str, str, str], object] = {}
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    session = f"{spark.sparkContext.applicationId}/{spark._jsparkSession.hashCode()}"
+    key = (session, sf_dir, name)
     if key not in _built:
         _built[key] = build()
     return _built[key]

@@ -144,8 +144,13 @@ def new_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).where(F.col("order_date") >= F.lit(HISTORY_END).cast("date"))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long texts; a small file of them is spread over all cores."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as labelled texts: the source plays the HS code, the language the label."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text", "lang"))
+    docs = documents(spark, sf_dir)
     return docs.select(F.col("doc_id").alias("row_id"), F.col("source").alias("hs_code"),
                        text.clean_basic(F.col("text")).alias("clean_text"), F.col("lang").alias("label"))

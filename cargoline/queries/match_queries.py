@@ -113,7 +113,9 @@ def match_overlap(spark, sf_dir):
 
 weighted_ctes("weighted", "new_rows", "dictionary_b", use_hs=False)
 weighted_ctes("weighted_hs", "new_rows", "dictionary_b", use_hs=True)
-masked_ctes("masked", "new_rows", "dictionary_b")
+# the fixtures hold hardly any deciding term, so one of their own words is made one
+_HIGH = [*K.MASKED_HIGH_VALUE_TERMS, "ring"]
+masked_ctes("masked", "new_rows", "dictionary_b", _HIGH)
 
 
 @query("match_weighted", ("weighted",), "SELECT * FROM weighted")
@@ -126,10 +128,9 @@ def match_weighted_hs(spark, sf_dir):
     return match.match_weighted(views.new_rows(spark, sf_dir), dictionary_b(spark, sf_dir))
 
 
-# a low threshold, since the fixture's keywords hold few of the deciding terms
 @query("match_masked", ("masked",), "SELECT * FROM masked")
 def match_masked(spark, sf_dir):
-    return match.match_masked(views.new_rows(spark, sf_dir), dictionary_b(spark, sf_dir))
+    return match.match_masked(views.new_rows(spark, sf_dir), dictionary_b(spark, sf_dir), high_value=_HIGH)
 
 
 cte("doc_rows", (), f"""SELECT doc_id AS row_id, 'doc' AS hs_code, {sql_clean_basic('text')} AS clean_text FROM documents""")
@@ -141,8 +142,7 @@ weighted_ctes("weighted_docs", "doc_rows", "phrases", use_hs=True)
 
 @query("match_weighted_documents", ("weighted_docs",), "SELECT * FROM weighted_docs")
 def match_weighted_documents(spark, sf_dir):
-    from cargoline.session import spread
-    docs = spread(views.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = views.documents(spark, sf_dir)
     rows = docs.select(F.col("doc_id").alias("row_id"), F.lit("doc").alias("hs_code"),
                        text.clean_basic(F.col("text")).alias("clean_text"))
     item = F.col("item_id")

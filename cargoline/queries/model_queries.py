@@ -53,8 +53,7 @@ bayes_ctes("nb_quality", "quality_train", "quality_train")
        "SELECT row_id, label, round(confidence, 6) AS confidence, n_labels FROM nb_quality")
 def nb_predict_documents(spark, sf_dir):
     from cargoline.functions import text
-    from cargoline.session import spread
-    docs = spread(views.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    docs = views.documents(spark, sf_dir)
     rows = docs.join(views.table(spark, sf_dir, "labels"), "doc_id").select(
         F.col("doc_id").alias("row_id"), F.col("source").alias("hs_code"), F.col("quality").cast("string").alias("label"),
         text.squeeze(F.col("text")).alias("clean_text"))

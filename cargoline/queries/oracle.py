@@ -355,8 +355,8 @@ SELECT row_id, hit.entry_id AS entry_id, any_value(hit.kind) AS kind, any_value(
     cte(name, (rows, f"{name}_scored"), _decide_sql(rows, f"{name}_scored", K.WEIGHTED_THRESHOLD))
 
 
-def masked_ctes(name: str, rows: str, dictionary: str) -> None:
-    weight = _weight_sql(K.MASKED_HIGH_VALUE_TERMS, 20, K.MASKED_JUNK_TERMS, "len(string_split(keyword, ' '))")
+def masked_ctes(name: str, rows: str, dictionary: str, high_value) -> None:
+    weight = _weight_sql(high_value, 20, K.MASKED_JUNK_TERMS, "len(string_split(keyword, ' '))")
     cte(f"{name}_kw", (dictionary,), f"""
 SELECT *, {weight} AS weight FROM (SELECT entry_id, keyword, min(kw_pos) AS kw_pos, any_value(kind) AS kind,
   any_value(label_text) AS label_text FROM ({_keywords_sql(dictionary, False)}) t GROUP BY entry_id, keyword) u""")
@@ -369,7 +369,8 @@ FROM (SELECT row_id, entry_id, kind, label_text, {_CONSUME} AS kept FROM (
       list([{{'start': start, 'stop': stop, 'kw_pos': kw_pos, 'weight': weight}}]
         ORDER BY length(keyword) DESC, kw_pos, start) AS hits
     FROM ({_hit_sql(rows, name + '_kw')}) h GROUP BY row_id, entry_id) a) b""")
-    cte(name, (rows, f"{name}_scored"), _decide_sql(rows, f"{name}_scored", K.MASKED_THRESHOLD))
+    cte(f"{name}_able", (f"{name}_scored",), f"SELECT * FROM {name}_scored WHERE score >= {K.MASKED_THRESHOLD}")
+    cte(name, (rows, f"{name}_able"), _decide_sql(rows, f"{name}_able", K.MASKED_THRESHOLD))
 
 
 def bayes_ctes(name: str, train: str, rows: str, group: tuple[str, ...] = ("hs_code",)) -> None:

@@ -1,3 +1,6 @@
+import json
+
+from cargoline.operators import knowledge
 from cargoline.sources import files, tables
 
 
@@ -32,3 +35,22 @@ def test_dictionary_entries_keep_file_and_line_order(spark, tmp_path):
     assert [(r.entry_id, r.keywords, r.product_line, r.class1, r.hs_code) for r in got] == [
         (0, ["đèn pha", "led"], "SP", "không_có", "không_có"), (1, ["bulb"], "SP", "x", "không_có"),
         (2, ["uv"], "không_có", "y", "9405")]
+
+
+def test_ground_truth_table_is_bucketed_and_replaced(spark):
+    rows = [("9405", "A", "a", "L", "NC", "c", "x")]
+    columns = "hs_code string, product_name string, clean_text string, product_line string, kind string, class1 string, class2 string"
+    spark.sql("DROP TABLE IF EXISTS truth_check")
+    for n in (1, 2):
+        tables.save_ground_truth(spark.createDataFrame(rows * n, columns), "truth_check", buckets=2)
+        assert spark.table("truth_check").count() == n
+    spark.sql("DROP TABLE truth_check")
+
+
+def test_mapping_as_json(spark):
+    rows = [("94051000", "SP A", "NC", "a", "b"), ("94052000", "SP A", "LK", "a", "c")]
+    df = spark.createDataFrame(rows, "hs_code string, product_line string, kind string, class1 string, class2 string")
+    got = {(r.grain, r.key): json.loads(r.json) for r in tables.mapping_json(knowledge.label_mapping(df)).collect()}
+    prefix = got["prefix", "9405"]
+    assert prefix["total"] == 2 and prefix["levels"]["kind"] == {"top": "LK", "confidence": 0.5, "alt": "NC", "alt_confidence": 0.5}
+    assert "alt" not in got["code", "94051000"]["levels"]["kind"]

@@ -125,7 +125,7 @@ def test_masked(data):
                               else len(k.split()))
             scores[e[0]] = total
         e, s = choose(scores, kinds)
-        expected[i] = (None if s < 15 else " | ".join(sentinel(v) for v in next(x for x in entries if x[0] == e)[3:7]), s)
+        expected[i] = (None if s < 15 else " | ".join(sentinel(v) for v in next(x for x in entries if x[0] == e)[3:7]), s if s >= 15 else 0)
     got = {x.row_id: (x.label_text, x.score) for x in match.match_masked(r, d).collect()}
     assert got == expected
 

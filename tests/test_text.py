@@ -79,6 +79,7 @@ def test_numbers_dates_codes(spark):
     assert run(spark, codes.parse_number(F.col("t")), numbers) == [1234.0, 12.5, 3.0, None, 15.0, None, None, -4.0]
     dates = ["2025-03-04", "04/03/2025", "bad", None]
     assert [str(d) if d else d for d in run(spark, codes.parse_date(F.col("t")), dates)] == ["2025-03-04", "2025-03-04", None, None]
+    assert run(spark, codes.month_name(F.month(codes.parse_date(F.col("t")))), dates) == ["Tháng 3", "Tháng 3", "", ""]
     hs = ["9405.00", "94051000.0", " 8539 ", "12", None, "85.39.10"]
     assert run(spark, codes.hs_plain(F.col("t")), hs) == ["9405.00", "94051000", "8539", "12", "", "85.39.10"]
     assert run(spark, codes.hs_valid(F.col("t")), hs) == ["940500", "940510000", "8539", None, None, "853910"]
