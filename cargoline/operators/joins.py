@@ -16,24 +16,33 @@ SALTS = 64
 
 
 def hottest(counts: DataFrame, keys: Sequence[str], count_col: str, limit: int = HOT_KEYS) -> DataFrame:
-    """The ``limit`` most frequent keys of an aggregated count table: a top-k, never a full sort."""
-    return counts.orderBy(F.desc(count_col), *keys).limit(limit).select(*keys)
+    """Hashes of the ``limit`` most frequent keys of an aggregated count table: a top-k over 16-byte rows.
+
+    Hashes keep the result to a few kilobytes however long the keys are. Two keys with one hash are both taken as hot,
+    which costs a little work and changes nothing.
+    """
+    hashed = counts.select(F.xxhash64(*keys).alias("_hash"), F.col(count_col).alias("_n"))
+    return hashed.orderBy(F.desc("_n"), "_hash").limit(limit).select("_hash").distinct()
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, spread_by: Column,
              how: str = "left", salts: int = SALTS) -> DataFrame:
     """Equi-join of a large ``left`` with ``right``, with the rows of ``hot`` keys split over ``salts`` partitions.
 
-    ``hot`` holds at most ``HOT_KEYS`` keys. Left rows of a hot key get a salt from ``spread_by``; the right rows of that
-    key are repeated once per salt. Every other row has salt 0, so nothing else is repeated.
+    ``hot`` comes from ``hottest``: at most ``HOT_KEYS`` hashes. Left rows of a hot key get a salt from ``spread_by``; the
+    right rows of that key are repeated once per salt. Every other row has salt 0, so nothing else is repeated.
     """
-    marks = F.broadcast(hot.select(*keys).distinct().withColumn("_hot", F.lit(True)))
-    salted_left = left.join(marks, list(keys), "left").withColumn(
-        "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
-    all_salts = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = right.join(marks, list(keys), "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), all_salts).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return salted_left.drop("_hot").join(salted_right, [*keys, "_salt"], how).drop("_salt")
+    keys = list(keys)
+    for key in keys:
+        if left.schema[key].dataType != right.schema[key].dataType:
+            raise TypeError(f"join key {key} has different types: hashes would differ")
+    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    marked = lambda df: df.withColumn("_hash", F.xxhash64(*keys)).join(marks, "_hash", "left").drop("_hash")
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_left = marked(left).withColumn("_salt", salt).drop("_hot")
+    salted_right = marked(right).withColumn("_salt", F.explode(all_salts)).drop("_hot")
+    return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 
 def number_sorted(df: DataFrame, order_by: str, name: str) -> DataFrame:
