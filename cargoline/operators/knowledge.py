@@ -72,7 +72,7 @@ def mapping_tiers(mapping: DataFrame, high: float = 0.8, medium: float = 0.5) ->
     best = mapping.where(F.col("level").isin("product_line", "class1", "class2")).groupBy("grain", "key").agg(
         F.max("confidence").alias("best"))
     is_code = F.col("grain") == "code"
-    count: callable = lambda cond: F.count(F.when(cond, 1))
+    count = lambda cond: F.count(F.when(cond, 1))
     return best.agg(
         count(is_code).alias("total_hs_codes"), count(~is_code).alias("total_prefixes"),
         count(is_code & (F.col("best") >= high)).alias("high_confidence"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
-from cargoline.operators.classifier import stable_percent  # noqa: F401
+
 
 
 def total_rows(df: DataFrame) -> Column:

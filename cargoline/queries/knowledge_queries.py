@@ -10,7 +10,7 @@ from cargoline.operators import dictionary as D
 from cargoline.operators import knowledge, standardize, taxonomy
 from cargoline.plans import shared, views
 from cargoline.queries.file_queries import _FAMILY
-from cargoline.queries.oracle import _no_label, cte, in_list, q, sql_clean_deep
+from cargoline.queries.oracle import cte, in_list, q, sql_clean_deep
 from cargoline.queries.registry import query
 
 L4 = ", ".join(K.LABEL_COLUMNS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
-from cargoline.functions import codes, labels, text
+from cargoline.functions import codes, labels
 from cargoline.operators import dictionary as D
 from cargoline.operators import standardize as S
 from cargoline.plans import shared, views
