@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 #: Text that a task holds decoded at one time, in characters; a longer single text is held alone.
@@ -16,7 +17,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHAR
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_pylist()
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_pylist()
         first = held = 0
         for row, size in enumerate(sizes):
             if row > first and held + size > limit:
