@@ -35,3 +35,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vocabulary = bpe.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"))
     return bpe.encode_decode(docs, vocabulary, outputs=("n_tokens", "ids_sha256", "decoded_sha256")).drop("text")
+
+
+@query("op2_pii")
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    columns = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+    return pii.find(docs, outputs=columns).drop("text")
