@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+import cargoline
 
 #: Text that a task holds decoded at one time, in characters; a longer single text is held alone.
 CHUNK_CHARS = 8_000_000
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that tasks can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_cargoline_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(cargoline.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="cargoline-"), "cargoline.zip")  # read by the driver's file server only
+    with zipfile.ZipFile(archive, "w") as packed:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(top)))
+    context.addPyFile(archive)
+    context._cargoline_shipped = True
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each has at most ``limit`` bytes of ``text``, or one row."""
     for batch in batches:
@@ -34,6 +56,7 @@ def add_columns(df: DataFrame, text: str, fn: Callable[[pa.Array], dict[str, pa.
     new column replaces one of the same name.
     """
     kept = [c for c in df.columns if c not in schema]
+    ship(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in kept])
     if text not in kept:
         raise ValueError(f"the text column {text!r} would be replaced")

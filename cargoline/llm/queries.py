@@ -44,3 +44,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     columns = ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
     return pii.find(docs, outputs=columns).drop("text")
+
+
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
