@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from cargoline.llm import licenses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,3 +53,51 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargoline.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def language_model(docs: DataFrame):
+    """Learned from the documents that are not held out."""
+    from cargoline.llm import langid
+
+    return langid.learn(docs.where(~langid.held_out(docs["doc_id"]) & docs["doc_id"].isNotNull()))
+
+
+@query("op5_language")
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", langid.held_out(docs["doc_id"]).alias("held_out"))
+    return langid.predict(rows, language_model(docs)).drop("text")
+
+
+#: DuckDB: the words of a text.
+WORDS_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+
+@query("op7_decontamination", sql=f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL.format('text')} AS w FROM documents),
+b AS (SELECT item_id, {WORDS_SQL.format('text')} AS w FROM benchmark),
+n AS (SELECT item_id, w, least(10, len(w)) AS k FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, k, array_to_string(w[s:s + k - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS s FROM n)),
+lengths AS (SELECT DISTINCT k FROM n),
+places AS (SELECT doc_id, k, s, array_to_string(w[s:s + k - 1], ' ') AS phrase
+           FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM d, lengths WHERE len(w) >= k)),
+hits AS (SELECT doc_id, item_id, s, k FROM places JOIN windows USING (k, phrase)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS items FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import decontaminate
+
+    rows = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256")
+    return rows.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query("op10_licenses", sql=licenses.oracle_sql(WORDS_SQL))
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
