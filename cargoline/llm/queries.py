@@ -101,3 +101,28 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_licenses", sql=licenses.oracle_sql(WORDS_SQL))
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query("op8_sharding", sql=f"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT doc_id, n_bytes, depth, h >> (60 - depth) AS prefix FROM (SELECT *, unnest(range(0, 41)) AS depth FROM d)),
+s AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS shard_rows FROM p GROUP BY depth, prefix),
+best AS (SELECT doc_id, n_bytes, min((depth, prefix, shard_bytes, shard_rows)) AS b FROM p JOIN s USING (depth, prefix)
+         WHERE shard_bytes <= {SHARD_BYTES} OR shard_rows = 1 GROUP BY doc_id, n_bytes)
+SELECT doc_id, n_bytes, CASE WHEN b[1] = 0 THEN '' ELSE lpad(bin(b[2]), b[1]::INTEGER, '0') END AS shard, b[1]::INTEGER AS depth, b[3] AS shard_bytes, b[4] AS shard_rows
+FROM best""")
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import sharding
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"))
+    return sharding.assign(docs, "doc_id", F.col("n"), SHARD_BYTES).drop("n")
