@@ -126,3 +126,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"))
     return sharding.assign(docs, "doc_id", F.col("n"), SHARD_BYTES).drop("n")
+
+
+@query("op9_embeddings")
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import embed
+    from cargoline.session import materialize
+
+    rows = table(spark, sf_dir, "embeddings")
+    result = materialize(embed.near_duplicates(rows), "embedding-links")
+    found = embed.recall(rows, result)
+    if found < 0.9:
+        raise RuntimeError(f"the audit found a recall of {found:.3f}")
+    return result
