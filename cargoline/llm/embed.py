@@ -39,6 +39,8 @@ DEGREE, BEAM, ALPHA = 24, 24, 1.2
 #: How far below the threshold the range search goes on through the graph.
 MARGIN = 0.06
 ROUNDS = 12
+#: Open nodes that one step expands.
+_STEP = 8
 AUDIT = 256
 
 
@@ -115,7 +117,7 @@ def _cells(points: DataFrame, cell_size: int) -> tuple[DataFrame, DataFrame]:
         small = cells.join(sizes.where(F.col("members") <= cell_size).select("cell"), "cell")
         done = small if done is None else done.unionByName(small)
         if big.isEmpty():
-            return materialize(done, "small-cells"), None
+            return materialize(done, "small-cells"), dense if dense is None else materialize(dense, "dense-cells")
         parent = F.regexp_replace("cell", "/[0-9]+$", "")
         if before is not None:  # a cell nearly as large as the one it came from is not split again
             kept = big.withColumn("parent", parent).join(before, "parent")
@@ -125,8 +127,7 @@ def _cells(points: DataFrame, cell_size: int) -> tuple[DataFrame, DataFrame]:
             big = big.join(stuck, "cell", "left_anti")
         before = sizes.select(F.col("cell").alias("parent"), F.col("members").alias("was"))
         cells = materialize(_split(cells, big, cell_size), "cells")
-    rest = cells
-    dense = rest if dense is None else dense.unionByName(rest)
+    dense = cells if dense is None else dense.unionByName(cells)
     return materialize(done, "small-cells"), materialize(dense, "dense-cells")
 
 
@@ -165,31 +166,33 @@ def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
 def range_search(x: np.ndarray, near: np.ndarray, queries: np.ndarray, start: int, threshold: float, beam: int = BEAM, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
     """(row of ``queries``, node) of what each query finds at ``threshold`` or above, itself left out.
 
-    ``near`` holds the neighbours of each node, -1 where there is none. All queries go on together, a step expands each one's best open node:
-    while it is among the ``beam`` best seen, or within ``margin`` of the threshold.
+    ``near`` holds the neighbours of each node, -1 where there is none. All queries go on together; a step expands each one's best open nodes
+    that are among the ``beam`` best seen, or within ``margin`` of the threshold.
     """
     q, n = len(queries), len(x)
-    sims = np.full((q, n), -np.inf)
-    opened = np.zeros((q, n), dtype=bool)
-    sims[:, start] = x[queries] @ x[start]
+    wide, few = min(_STEP, n), min(beam, n)
+    sims = np.full((q, n), -np.inf)  # of what a query has seen
+    waiting = np.full((q, n), -np.inf)  # of what it has seen and not expanded
+    sims[:, start] = waiting[:, start] = x[queries] @ x[start]
     active = np.arange(q)
     while len(active):
-        open_sims = np.where(opened[active], -np.inf, sims[active])
-        best = open_sims.argmax(axis=1)
-        top = open_sims[np.arange(len(active)), best]
-        seen = sims[active]
-        bound = np.partition(seen, n - beam, axis=1)[:, n - beam] if n > beam else np.full(len(active), -np.inf)
+        open_sims = waiting[active]
+        best = np.argpartition(-open_sims, wide - 1, axis=1)[:, :wide]
+        top = np.take_along_axis(open_sims, best, axis=1)
+        bound = -np.partition(-sims[active], few - 1, axis=1)[:, few - 1 : few]
         go = np.isfinite(top) & ((top >= bound) | (top >= threshold - margin))
-        active, best = active[go], best[go]
-        if not len(active):
-            break
-        opened[active, best] = True
-        around = near[best]
-        rows, cols = np.nonzero(around >= 0)
-        to = around[rows, cols]
-        fresh = ~np.isfinite(sims[active[rows], to])
-        rows, to = active[rows[fresh]], to[fresh]
-        sims[rows, to] = np.einsum("ij,ij->i", x[queries[rows]], x[to])
+        rows, cols = np.nonzero(go)
+        nodes = best[rows, cols]
+        rows = active[rows]
+        active = active[go.any(axis=1)]
+        waiting[rows, nodes] = -np.inf
+        around = near[nodes]
+        r, c = np.nonzero(around >= 0)
+        pairs = np.unique(rows[r] * np.int64(n) + around[r, c])
+        rows, to = pairs // n, pairs % n
+        fresh = ~np.isfinite(sims[rows, to])
+        rows, to = rows[fresh], to[fresh]
+        sims[rows, to] = waiting[rows, to] = np.einsum("ij,ij->i", x[queries[rows]], x[to])
     rows, found = np.nonzero(sims >= threshold)
     other = found != queries[rows]
     return rows[other], found[other]
