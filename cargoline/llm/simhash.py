@@ -21,7 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cargoline.llm.batches import add_columns
 from cargoline.llm.graph import components
@@ -100,33 +100,40 @@ def _step(vector: Column):
 
 
 def _joined_cells(points: DataFrame) -> DataFrame:
-    """Edges between fingerprints two bits apart at most: stars in the cells of the one-bit grid."""
+    """Edges between fingerprints two bits apart at most: stars in the cells of the one-bit grid, which hold 65 fingerprints at most."""
     cells = points.select("node", F.explode(_flips(F.col("fingerprint"), 64, None)).alias("cell"))
-    least = cells.groupBy("cell").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return cells.join(least, "cell").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    least = F.min("node").over(W.partitionBy("cell"))
+    return cells.select(least.alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+
+
+def _own(fingerprint: Column, half: Column) -> Column:
+    """The half of a fingerprint's vector, as a cell of the grid."""
+    vector = unary_counts(fingerprint)
+    return F.when(half == 0, vector.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(vector, 32))
 
 
 def _range_join(points: DataFrame, distance: int) -> DataFrame:
-    """Edges between points of different groups at most ``distance`` (4 at most) bits apart, through cells one step from both."""
+    """Edges between groups of points at most ``distance`` (4 at most) bits apart, through cells one step from both."""
     if distance > 4:
         raise ValueError("halves and single steps reach distance four")
-    vector = F.col("vector")
-    low, high = vector.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(vector, 32)
-    halves = F.explode(F.array(F.struct(F.lit(0).alias("half"), low.alias("own")), F.struct(F.lit(1).alias("half"), high.alias("own")))).alias("h")
-    per_half = points.withColumn("vector", unary_counts(F.col("fingerprint"))).select("node", "fingerprint", "group", "vector", halves).select(
-        "node", "fingerprint", "group", "vector", "h.half", "h.own")
-    cells = per_half.withColumn("cell", F.explode(_flips(F.col("own"), 32, _step(F.col("own")))))
+    halves = points.select("fingerprint", "group", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).withColumn("own", _own(F.col("fingerprint"), F.col("half")))
+    stepped = halves.select("fingerprint", "group", "half", F.explode(_flips(F.col("own"), 32, _step(F.col("own")))).alias("cell"))
+    # a cell and its half in one number; what else a pair needs comes from the fingerprints, so that little is shuffled
+    cells = stepped.select("fingerprint", "group", (F.col("cell") + F.col("half") * F.lit(1 << 32)).alias("cell"))
     a, b = cells.alias("a"), cells.alias("b")
-    apart = F.col("a.own").bitwiseXOR(F.col("b.own"))
+    fa, fb = F.col("a.fingerprint"), F.col("b.fingerprint")
+    half = F.shiftrightunsigned("a.cell", 32)
+    own = _own(fa, half)
+    apart = own.bitwiseXOR(_own(fb, half))
     lowest = apart.bitwiseAND(-apart)
-    within = (F.bit_count(apart) == 2) & (apart == lowest * 3) & (lowest.bitwiseAND(F.lit(0x55555555)) != 0) & (F.col("a.own").bitwiseAND(lowest) != 0)
-    between = F.col("a.own").bitwiseXOR(F.when(within, lowest * 2).otherwise(lowest))  # one step from a, and one less to b
-    first_half = F.bit_count(F.col("a.vector").bitwiseXOR(F.col("b.vector")).bitwiseAND(F.lit(0xFFFFFFFF)))
-    return a.join(b, (F.col("a.half") == F.col("b.half")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fingerprint") < F.col("b.fingerprint"))
-                  & (F.col("a.group") != F.col("b.group"))
-                  & (F.bit_count(F.col("a.vector").bitwiseXOR(F.col("b.vector"))) <= distance)
-                  & (F.bit_count(F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))) <= distance)
-                  & (F.col("a.cell") == between) & ((F.col("a.half") == 0) | (first_half > 2))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    within = (F.bit_count(apart) == 2) & (apart == lowest * 3) & (lowest.bitwiseAND(F.lit(0x55555555)) != 0) & (own.bitwiseAND(lowest) != 0)
+    between = own.bitwiseXOR(F.when(within, lowest * 2).otherwise(lowest))  # one step from a, and one less to b
+    manhattan = unary_counts(fa).bitwiseXOR(unary_counts(fb))
+    return a.join(b, (F.col("a.cell") == F.col("b.cell")) & (fa < fb) & (F.col("a.group") != F.col("b.group"))
+                  & (F.bit_count(manhattan) <= distance) & (F.bit_count(fa.bitwiseXOR(fb)) <= distance)
+                  & (F.col("a.cell").bitwiseAND(F.lit(0xFFFFFFFF)) == between)
+                  & ((half == 0) | (F.bit_count(manhattan.bitwiseAND(F.lit(0xFFFFFFFF))) > 2))).select(
+        F.col("a.group").alias("a"), F.col("b.group").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -140,9 +147,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     else:
         grouped = known.withColumn("group", F.col("node"))
     grouped = materialize(grouped, "groups")
-    far = _range_join(grouped, distance).join(grouped.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(
-        grouped.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").select("ga", "gb")
-    linked = components(far, "ga", "gb")
+    linked = components(_range_join(grouped, distance))
     named = grouped.join(linked, grouped.group == linked.node, "left").select("fingerprint", F.coalesce("component", "group").alias("component_id"))
     return rows.join(named, "fingerprint", "left").select(
         F.col(f"`{id_col}`"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
