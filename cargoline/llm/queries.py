@@ -139,3 +139,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     if found < 0.9:
         raise RuntimeError(f"the audit found a recall of {found:.3f}")
     return result
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import suffix
+
+    return suffix.remove(table(spark, sf_dir, "documents"))
