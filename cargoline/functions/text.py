@@ -63,6 +63,9 @@ def words(text: Column) -> Column:
 
 
 def _in(values: Sequence[str]) -> str:
+    """The list after IN; a value no word can have stands for an empty one."""
+    if not values:
+        return "('')"
     return "(" + ", ".join("'" + v.replace("'", "\\'") + "'" for v in values) + ")"
 
 
@@ -133,6 +136,8 @@ def positioned_ngrams(tokens_: Column, n_max: Column) -> Column:
 
 def any_term(text: Column, terms: Sequence[str]) -> Column:
     """True when ``text`` contains any of ``terms`` as a substring: one alternation instead of one scan per term."""
+    if not terms:
+        return F.lit(False)
     specials = set("\\.[]{}()*+-?^$|/&#")
     pattern = "|".join("".join("\\" + ch if ch in specials else ch for ch in t) for t in terms)
     return text.rlike(pattern)

@@ -225,15 +225,18 @@ def build_labelled_dictionary(rows: DataFrame, taxonomy: DataFrame | None = None
 
 # --- draft groups ---------------------------------------------------------------------------------------------------
 
+def _draft_rows(rows: DataFrame) -> DataFrame:
+    """Rows that have a token, with digits-only code and null label parts as '0'."""
+    deep = _zero_labels(rows).withColumns({"hs_code": codes.hs_digits(F.col("hs_code")), "_deep": text.clean_deep(F.col("product_name"))})
+    return deep.where(F.size(text.tokens("_deep", K.TEXT_STOPWORDS)) > 0).drop("_deep")
+
+
 def draft_groups(rows: DataFrame) -> DataFrame:
     """Groups of equal (code, label) in first-seen order with a dense number, their size and the first description."""
     from cargoline.operators.joins import number_sorted
 
     by = ["hs_code", *K.LABEL_COLUMNS]
-    kept = _zero_labels(rows).withColumns({"hs_code": codes.hs_digits(F.col("hs_code")),
-                                           "_deep": text.clean_deep(F.col("product_name"))})
-    kept = kept.where(F.size(text.tokens("_deep", K.TEXT_STOPWORDS)) > 0)
-    groups = kept.groupBy(*by).agg(F.count("*").alias("n_products"),
+    groups = _draft_rows(rows).groupBy(*by).agg(F.count("*").alias("n_products"),
                                    F.min(F.struct("row_id", "product_name")).alias("first"))
     flat = groups.select(*by, "n_products", F.col("first.row_id").alias("first_row"),
                          F.substring("first.product_name", 1, 120).alias("sample_text"))
@@ -241,12 +244,11 @@ def draft_groups(rows: DataFrame) -> DataFrame:
 
 
 def tag_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows with the number of their draft group; large groups are spread by salt."""
+    """Rows that have a token with the number of their draft group, as the groups were made; large groups are spread by salt."""
     from cargoline.operators.joins import hottest, join_hot
 
     by = ["hs_code", *K.LABEL_COLUMNS]
-    keyed = _zero_labels(rows).withColumn("hs_code", codes.hs_digits(F.col("hs_code")))
-    return join_hot(keyed, groups.select(*by, "cluster_id"), by, hottest(groups, by, "n_products"), F.col("row_id"),
+    return join_hot(_draft_rows(rows), groups.select(*by, "cluster_id"), by, hottest(groups, by, "n_products"), F.col("row_id"),
                     "inner")
 
 

@@ -185,7 +185,7 @@ def disagreements(evaluation: DataFrame, dict_label: str = "dict_label", ai_labe
     """
     canonical = lambda c: F.when(F.col(c).isNotNull(), labels.normalize_combined(F.col(c)))
     known_truth = F.when(F.coalesce(F.col(truth_label), F.lit("")) != "", labels.normalize_combined(F.col(truth_label)))
-    rows = evaluation.select("row_id", F.substring("product_name", 1, 200).alias("product"), "hs_code",
+    rows = evaluation.select("row_id", F.substring("product_name", 1, 200).alias("product"), F.col("product_name").alias("whole_text"), "hs_code",
                              canonical(dict_label).alias("dict_norm"), canonical(ai_label).alias("ai_norm"),
                              known_truth.alias("truth"), F.col(confidence).alias("ai_confidence"))
     d, m, t = F.col("dict_norm"), F.col("ai_norm"), F.col("truth")
@@ -213,13 +213,13 @@ def retraining_rows(disagreement: DataFrame, min_confidence: float = 0.75) -> Da
     model_right = (F.col("pattern") == "dict_fail_ai_pass") & (F.col("ai_confidence") >= min_confidence)
     dict_right = F.col("pattern") == "dict_pass_ai_fail"
     picked = disagreement.where(model_right | dict_right).select(
-        "row_id", "hs_code", "product",
+        "row_id", "hs_code", "whole_text",
         F.when(model_right, F.col("ai_norm")).otherwise(F.col("dict_norm")).alias("label"),
         F.when(model_right, F.col("ai_confidence")).otherwise(F.lit(1.0)).alias("confidence"),
         F.when(model_right, F.lit("model_right")).otherwise(F.lit("dict_right")).alias("source"))
     complete = picked.where((labels.split_part(F.col("label"), 0) != K.NO_LABEL)
                             & (labels.split_part(F.col("label"), 1) != K.NO_LABEL))
-    texts = F.posexplode(F.concat(F.array("product"), text.text_variants(F.col("product")))).alias("variant", "text")
+    texts = F.posexplode(F.concat(F.array("whole_text"), text.text_variants(F.col("whole_text")))).alias("variant", "text")
     parts = [labels.split_part(F.col("label"), i).alias(c) for i, c in enumerate(K.LABEL_COLUMNS)]
     return complete.select("row_id", "hs_code", "label", "confidence", "source", texts).select(
         "row_id", "variant", F.concat(F.lit("san pham: "), F.col("text")).alias("text"), *parts, "label", "hs_code",

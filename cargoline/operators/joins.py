@@ -12,36 +12,37 @@ from cargoline.session import materialize
 #: Any key that holds more than 1/1024 of the rows is among the 1024 most frequent ones, so this many keys are enough,
 #: and a broadcast of them has a fixed bound.
 HOT_KEYS = 1024
-SALTS = 64
+#: Rows of one key that may share a task; a key gets as many salts as it has rows of this many.
+ROWS_PER_SALT = 200_000
 
 
 def hottest(counts: DataFrame, keys: Sequence[str], count_col: str, limit: int = HOT_KEYS) -> DataFrame:
-    """Hashes of the ``limit`` most frequent keys of an aggregated count table: a top-k over 16-byte rows.
+    """Hashes of the ``limit`` most frequent keys of an aggregated count table with their counts: a top-k over 16-byte rows.
 
     Hashes keep the result to a few kilobytes however long the keys are. Two keys with one hash are both taken as hot,
     which costs a little work and changes nothing.
     """
     hashed = counts.select(F.xxhash64(*keys).alias("_hash"), F.col(count_col).alias("_n"))
-    return hashed.orderBy(F.desc("_n"), "_hash").limit(limit).select("_hash").distinct()
+    return hashed.orderBy(F.desc("_n"), "_hash").limit(limit).groupBy("_hash").agg(F.sum("_n").alias("_n"))
 
 
 def join_hot(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, spread_by: Column,
-             how: str = "left", salts: int = SALTS) -> DataFrame:
-    """Equi-join of a large ``left`` with ``right``, with the rows of ``hot`` keys split over ``salts`` partitions.
+             how: str = "left", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """Equi-join of a large ``left`` with ``right``, with the rows of ``hot`` keys split over as many partitions as they need.
 
-    ``hot`` comes from ``hottest``: at most ``HOT_KEYS`` hashes. Left rows of a hot key get a salt from ``spread_by``; the
-    right rows of that key are repeated once per salt. Every other row has salt 0, so nothing else is repeated.
+    ``hot`` comes from ``hottest``: at most ``HOT_KEYS`` hashes with counts. Left rows of a hot key get one of
+    ceil(count / ``rows_per_salt``) salts from ``spread_by``; the right rows of that key are repeated once per salt. Every other row
+    has salt 0, so nothing else is repeated.
     """
     keys = list(keys)
     for key in keys:
         if left.schema[key].dataType != right.schema[key].dataType:
             raise TypeError(f"join key {key} has different types: hashes would differ")
-    marks = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    marks = F.broadcast(hot.select("_hash", F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts")).where("_salts > 1"))
     marked = lambda df: df.withColumn("_hash", F.xxhash64(*keys)).join(marks, "_hash", "left").drop("_hash")
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    all_salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_left = marked(left).withColumn("_salt", salt).drop("_hot")
-    salted_right = marked(right).withColumn("_salt", F.explode(all_salts)).drop("_hot")
+    many = F.coalesce("_salts", F.lit(1))
+    salted_left = marked(left).withColumn("_salt", F.pmod(F.xxhash64(spread_by), many).cast("int")).drop("_salts")
+    salted_right = marked(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("_salts")
     return salted_left.join(salted_right, [*keys, "_salt"], how).drop("_salt")
 
 

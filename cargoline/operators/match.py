@@ -53,6 +53,15 @@ def phrase_table(dictionary: DataFrame) -> DataFrame:
     return exploded.groupBy("hs_code", "keyword").agg(F.min(F.struct("entry_id", "kw_pos", "label")).alias("first"))
 
 
+def numbered_texts(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct ``keys`` with their count ``n`` and a number of their own as ``row_id``, written once so that numbers are facts.
+
+    The caller's row ids are no ids of texts: two files may both count from 1.
+    """
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return materialize(counted.withColumn("row_id", F.monotonically_increasing_id()), "texts")
+
+
 def once_per_text(rows: DataFrame, matcher: Callable[[DataFrame], DataFrame], keys: Sequence[str]) -> DataFrame:
     """Run ``matcher`` once per distinct ``keys`` instead of once per row and hand the result to every row.
 
@@ -61,7 +70,7 @@ def once_per_text(rows: DataFrame, matcher: Callable[[DataFrame], DataFrame], ke
     """
     keys = list(keys)
     keyed = rows.select("row_id", *[F.coalesce(k, F.lit("")).alias(k) for k in keys])
-    texts = materialize(keyed.groupBy(*keys).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n")), "texts")
+    texts = numbered_texts(keyed, keys)
     found = matcher(spread(texts.drop("n"))).join(texts.drop("n"), "row_id").drop("row_id")
     return join_hot(keyed, found, keys, hottest(texts, keys, "n"), F.col("row_id"), "inner").drop(*keys)
 

@@ -11,16 +11,12 @@ from cargoline import constants as K
 
 
 
-def total_rows(df: DataFrame) -> Column:
-    """Row count as a scalar subquery."""
-    return df.agg(F.count("*").alias("n")).scalar()
-
-
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows and share per value of each column, in one pass over the table; nulls are not counted as values."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
     counts = df.select(pairs.alias("p")).select("p.*").groupBy("column", "value").agg(F.count("*").alias("n"))
-    return counts.where("value is not null").withColumn("share", F.round(F.col("n") / total_rows(df), 6))
+    total = F.sum("n").over(Window.partitionBy("column"))  # of the counts, nulls included: the table is read once
+    return counts.withColumn("share", F.round(F.col("n") / total, 6)).where("value is not null")
 
 
 def top_values(df: DataFrame, column: str, limit: int = 5) -> DataFrame:
@@ -46,7 +42,8 @@ def exception_groups(df: DataFrame, by: Sequence[str] = ("hs_code", "brand")) ->
 
 def pattern_report(df: DataFrame, column: str) -> DataFrame:
     counts = df.groupBy(F.col(column).alias("pattern")).agg(F.count("*").alias("n"))
-    return counts.withColumn("percent", F.round(F.col("n") * 100.0 / total_rows(df), 2))
+    total = F.sum("n").over(Window.partitionBy())  # of one row per pattern
+    return counts.withColumn("percent", F.round(F.col("n") * 100.0 / total, 2))
 
 
 def cross_tab(df: DataFrame, rows: str, columns: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,27 +40,34 @@ def required_columns(df: DataFrame) -> None:
 
 
 def with_trade(df: DataFrame, direction: str | Column | None = None) -> DataFrame:
-    """Add importer, exporter, country and trade direction, by which party columns the table has. Export is tried first.
+    """Add importer, exporter, country and trade direction, by which party columns the table has. Export is tried first; where a table
+    has the columns of both, each row goes by the parties it names.
 
     ``direction`` overrides the detected direction; as a Column it does so per row where it is not null.
     """
-    if "VN_Exporter" in df.columns:
-        exporter = F.coalesce(column(df, "VN_Exporter"), column(df, "VN_Exporter_EN"))
-        importer = column(df, "Foreign_Importer")
-        country = F.coalesce(column(df, "Destination_Country"), column(df, "Destination_Country_CN", None))
-        detected = "export"
-    elif "VN_Importer" in df.columns:
-        importer = F.coalesce(column(df, "VN_Importer"), column(df, "VN_Importer_EN"))
-        exporter = column(df, "Foreign_Exporter")
-        country = F.coalesce(column(df, "Origin_Country"), column(df, "Origin_Country_CN", None))
-        detected = "import"
+    filled = lambda *names: F.coalesce(*[F.trim(F.col(f"`{n}`")) != "" for n in names if n in df.columns], F.lit(False))
+    any_filled = lambda *names: reduce(lambda x, y: x | y, [filled(n) for n in names])
+    exports, imports = "VN_Exporter" in df.columns, "VN_Importer" in df.columns
+    out = {
+        "exporter": F.coalesce(column(df, "VN_Exporter"), column(df, "VN_Exporter_EN")), "importer": column(df, "Foreign_Importer"),
+        "country": F.coalesce(column(df, "Destination_Country"), column(df, "Destination_Country_CN", None))}
+    into = {
+        "importer": F.coalesce(column(df, "VN_Importer"), column(df, "VN_Importer_EN")), "exporter": column(df, "Foreign_Exporter"),
+        "country": F.coalesce(column(df, "Origin_Country"), column(df, "Origin_Country_CN", None))}
+    if exports and imports:
+        # a union of files of both kinds: the parties that a row names decide, export first
+        is_export = any_filled("VN_Exporter", "VN_Exporter_EN", "Foreign_Importer") | ~any_filled("VN_Importer", "VN_Importer_EN", "Foreign_Exporter")
+        importer, exporter, country = (F.when(is_export, out[c]).otherwise(into[c]) for c in ("importer", "exporter", "country"))
+        detected = F.when(is_export, "export").otherwise("import")
+    elif exports or imports:
+        importer, exporter, country = ((out if exports else into)[c] for c in ("importer", "exporter", "country"))
+        detected = F.lit("export" if exports else "import")
     else:
-        importer = exporter = country = F.lit("")
-        detected = ""
+        importer = exporter = country = detected = F.lit("")
     if direction is None or isinstance(direction, str):
-        final = F.lit(direction or detected)
+        final = F.lit(direction) if direction else detected
     else:
-        final = F.coalesce(direction, F.lit(detected))
+        final = F.coalesce(direction, detected)
     return df.withColumns({"importer": importer, "exporter": exporter, "country": country, "trade_direction": final})
 
 

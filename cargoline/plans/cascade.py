@@ -59,12 +59,14 @@ def classify(rows: DataFrame, ground_truth: DataFrame, dictionary: DataFrame,
     """Classify every row of ``row_id, hs_code, clean_text``: label parts, status, confidence.
 
     Each distinct (code, text) is classified once. Rows take the result by an equi-join in which the rows of the most
-    frequent texts are salted, so a text that fills a third of the table does not end in one task.
+    frequent texts are salted, so a text that fills a third of the table does not end in one task. A null code or text counts as
+    an empty one, and row ids may repeat: texts have numbers of their own.
     """
-    counted = rows.groupBy(*KEYS).agg(F.min("row_id").alias("row_id"), F.count("*").alias("n"))
-    texts = materialize(counted, "texts")
-    outcome = classify_texts(texts, ground_truth, dictionary, model, threshold)
-    joined = join_hot(rows, outcome, KEYS, hottest(texts, KEYS, "n"), F.col("row_id"))
+    own = dict(zip(KEYS, ("_code", "_text")))
+    keyed = rows.withColumns({k: F.coalesce(c, F.lit("")) for c, k in own.items()})
+    texts = match.numbered_texts(keyed.select(*[F.col(k).alias(c) for c, k in own.items()]), KEYS)
+    outcome = classify_texts(texts, ground_truth, dictionary, model, threshold).withColumnsRenamed(own)
+    joined = join_hot(keyed, outcome, list(own.values()), hottest(texts, KEYS, "n"), F.col("row_id"))
     carried = [c for c in rows.columns if c not in K.LABEL_COLUMNS]
     return joined.select(*carried, *[F.coalesce(F.col(f"label.{c}"), F.lit("")).alias(c) for c in K.LABEL_COLUMNS],
                          "status", "confidence")

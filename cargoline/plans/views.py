@@ -90,7 +90,7 @@ def _goods(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey"), "l_partkey")
         .selectExpr("*", "split(p_name, ' ')[1] AS noun", "split(p_name, ' ')[0] AS adjective",
                     "CASE WHEN o_orderkey % 107 = 0 THEN 'Sản phẩm không xác định' "
-                    "ELSE concat(p_name, ' ', p_size, 'W ', p_brand, ' mới 100%') END AS base",
+                    "ELSE concat(p_name, ' ', p_size, 'W ', replace(p_brand, '#', ''), ' mới 100%') END AS base",
                     f"concat({_FAMILY}, lpad(p_size % 8, 2, '0'), '90') AS code",
                     "bigint(l_quantity * 100) AS hundred")
     )

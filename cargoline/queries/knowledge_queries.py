@@ -88,7 +88,7 @@ def draft_taxonomy(spark, sf_dir):
     return D.draft_groups(gaps(spark, sf_dir))
 
 
-@query("draft_row_groups", ("gaps", "draft"), f"SELECT g.row_id, d.cluster_id FROM gaps g JOIN draft d USING (hs_code, {L4})")
+@query("draft_row_groups", ("draft_rows", "draft"), f"SELECT g.row_id, d.cluster_id FROM draft_rows g JOIN draft d USING (hs_code, {L4})")
 def draft_row_groups(spark, sf_dir):
     rows = gaps(spark, sf_dir)
     return D.tag_rows(rows, D.draft_groups(rows)).select("row_id", "cluster_id")

@@ -134,7 +134,7 @@ def match_masked(spark, sf_dir):
 
 
 cte("doc_rows", (), f"""SELECT doc_id AS row_id, 'doc' AS hs_code, {sql_clean_basic('text')} AS clean_text FROM documents""")
-cte("phrases", (), f"""SELECT item_id AS entry_id, [array_to_string(w[1:3], ' ')] AS keywords, 'item' AS product_line,
+cte("phrases", (), f"""SELECT item_id AS entry_id, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS keywords, 'item' AS product_line,
   CASE WHEN item_id % 2 = 0 THEN 'NC' ELSE 'LK' END AS kind, 'phrase' AS class1, item_id::VARCHAR AS class2,
   'doc' AS hs_code FROM (SELECT item_id, {sql_words(sql_clean_basic('text'))} AS w FROM benchmark) t""")
 weighted_ctes("weighted_docs", "doc_rows", "phrases", use_hs=True)
@@ -148,7 +148,7 @@ def match_weighted_documents(spark, sf_dir):
     item = F.col("item_id")
     phrases = views.table(spark, sf_dir, "benchmark").select(
         item.alias("entry_id"),
-        F.array(F.array_join(F.slice(text.words(text.clean_basic(F.col("text"))), 1, 3), " ")).alias("keywords"),
+        text.ngrams(text.words(text.clean_basic(F.col("text"))), 3, 3).alias("keywords"),
         F.lit("item").alias("product_line"), F.when(item % 2 == 0, "NC").otherwise("LK").alias("kind"),
         F.lit("phrase").alias("class1"), item.cast("string").alias("class2"), F.lit("doc").alias("hs_code"))
     return match.match_weighted(rows, phrases)

@@ -166,6 +166,17 @@ def classify_cascade(spark, sf_dir):
     return out.select("row_id", *K.LABEL_COLUMNS, "status", F.round("confidence", 6).alias("confidence"))
 
 
+@query("classify_cascade_edges", ("cascade",), f"""SELECT 1 AS row_id, {L4}, status, round(confidence, 6) AS confidence FROM cascade
+UNION ALL SELECT row_id, '', '', '', '', 'review', 0.0 FROM cascade""")
+def classify_cascade_edges(spark, sf_dir):
+    """All declarations under one and the same row id, and all of them once more without code and text."""
+    rows = views.rows(spark, sf_dir).select("row_id", "hs_code", "clean_text")
+    nothing = rows.select("row_id", F.lit(None).cast("string").alias("hs_code"), F.lit(None).cast("string").alias("clean_text"))
+    both = rows.withColumn("row_id", F.lit(1).cast(rows.schema["row_id"].dataType)).unionByName(nothing)
+    out = cascade.classify(both, ground_truth(spark, sf_dir), dictionary(spark, sf_dir), model(spark, sf_dir))
+    return out.select("row_id", *K.LABEL_COLUMNS, "status", F.round("confidence", 6).alias("confidence"))
+
+
 cte("feature_rows", ("rows_",), "SELECT row_id, hs_code, feature AS clean_text, brand, power FROM (" + f"""
 SELECT row_id, hs_code, b AS brand, p AS power,
   {sql_squeeze("'Hãng: ' || b || ' - Công suất: ' || p || ' - Sản phẩm: ' || l")} AS feature

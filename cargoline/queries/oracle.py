@@ -149,7 +149,7 @@ SELECT o_orderkey AS row_id,
 FROM (
   SELECT *, string_split(p_name, ' ')[2] AS noun, string_split(p_name, ' ')[1] AS adjective,
     CASE WHEN o_orderkey % 107 = 0 THEN 'Sản phẩm không xác định'
-      ELSE p_name || ' ' || p_size || 'W ' || p_brand || ' mới 100%' END AS base,
+      ELSE p_name || ' ' || p_size || 'W ' || replace(p_brand, '#', '') || ' mới 100%' END AS base,
     ({FAMILY}) || lpad((p_size % 8)::VARCHAR, 2, '0') || '90' AS code, (l_quantity * 100)::BIGINT AS hundred
   FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey,
           l_suppkey, l_quantity, l_extendedprice, l_returnflag) = 1) l

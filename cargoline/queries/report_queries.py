@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
@@ -116,7 +117,7 @@ cte("threeway", ("judged",), f"SELECT *, {_three(0, 'other')} AS pattern, {_thre
 def threeway_patterns(spark, sf_dir):
     t = E.three_way(shared.evaluation(spark, sf_dir))
     return t.groupBy("pattern", "action").agg(F.count("*").alias("n")).withColumn(
-        "percent", F.round(F.col("n") * 100.0 / R.total_rows(shared.evaluation(spark, sf_dir)), 2))
+        "percent", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()), 2))
 
 
 @query("threeway_fixes", ("threeway",), """SELECT row_id, hs_code, product_name, coalesce(dict_label, 'Unknown') AS matched_label,
@@ -140,7 +141,7 @@ SELECT *, CASE WHEN t IS NULL AND d <> m THEN 'conflict' WHEN d_ok AND m_ok THEN
   WHEN d_ok AND NOT m_ok AND t IS NOT NULL THEN 'dict_pass_ai_fail' WHEN NOT d_ok AND NOT m_ok AND t IS NOT NULL THEN 'both_fail'
   ELSE 'verified' END AS pattern
 FROM (SELECT *, d IS NOT NULL AND (t IS NULL OR d = t) AS d_ok, m IS NOT NULL AND (t IS NULL OR m = t) AS m_ok
-  FROM (SELECT row_id, product_name[1:200] AS product, hs_code, ai_confidence / 100 AS ai_confidence,
+  FROM (SELECT row_id, product_name, product_name[1:200] AS product, hs_code, ai_confidence / 100 AS ai_confidence,
       CASE WHEN dict_label IS NOT NULL THEN {sql_normalize_combined('dict_label')} END AS d,
       CASE WHEN ai_label IS NOT NULL THEN {sql_normalize_combined('ai_label')} END AS m,
       CASE WHEN source_file <> 'file_0' THEN {TRUTH} END AS t FROM evaluation) a) b""")
@@ -164,7 +165,7 @@ def dict_proposals(spark, sf_dir):
     return E.proposals(disagreement_table(spark, sf_dir)).withColumn("ai_confidence", F.round("ai_confidence", 6))
 
 
-cte("retrain_base", ("disagreement",), """SELECT row_id, hs_code, product, CASE WHEN pattern = 'dict_fail_ai_pass' THEN m ELSE d END AS label,
+cte("retrain_base", ("disagreement",), """SELECT row_id, hs_code, product_name AS product, CASE WHEN pattern = 'dict_fail_ai_pass' THEN m ELSE d END AS label,
   CASE WHEN pattern = 'dict_fail_ai_pass' THEN ai_confidence ELSE 1.0 END AS confidence,
   CASE WHEN pattern = 'dict_fail_ai_pass' THEN 'model_right' ELSE 'dict_right' END AS source
 FROM disagreement WHERE (pattern = 'dict_fail_ai_pass' AND ai_confidence >= 0.75) OR pattern = 'dict_pass_ai_fail'""")

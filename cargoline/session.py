@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,12 +27,14 @@ def build_session(app_name: str = "cargoline", master: str | None = None, **conf
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` as the cluster names it, or the context's checkpoint folder.
 
-    Only where that is unset (tests on one machine) a local folder is made and set.
+    Only on one machine (master ``local``) a local folder is made and set where neither is named; a cluster has to name one.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors can reach")
         configured = tempfile.mkdtemp(prefix="cargoline-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import csv
+import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
 
 _EXTRA = "_extra"
-_HEAD_BYTES = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -36,21 +37,24 @@ def list_files(spark: SparkSession, folder: str, suffix: str = "") -> list[str]:
 
 
 def read_head(spark: SparkSession, path: str, n_lines: int) -> list[str]:
-    """First lines of a file, at most 64 KB of it: what a schema look-up needs, whatever the size of the file."""
+    """First lines of a file, however long they are: what a schema look-up needs, whatever the size of the file."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(conf).open(target)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(target.getFileSystem(conf).open(target), "ISO-8859-1"))
     try:
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(
-            jvm.org.apache.commons.io.input.BoundedInputStream(stream, _HEAD_BYTES)))
+        lines = []
+        while len(lines) < n_lines and (line := reader.readLine()) is not None:
+            lines.append(line.encode("latin1"))
     finally:
-        stream.close()
+        reader.close()
+    return [_text(line) for line in lines]
+
+
+def _text(line: bytes) -> str:
     try:
-        content = data.decode("utf-8")
-    except UnicodeDecodeError as broken:
-        # a character cut at the end of the head is no sign of another encoding
-        content = data[: broken.start].decode("utf-8") if broken.start > len(data) - 4 else data.decode("latin1")
-    return content.split("\n")[:n_lines]
+        return line.decode("utf-8")
+    except UnicodeDecodeError:
+        return line.decode("latin1")
 
 
 def sniff(spark: SparkSession, path: str, markers: Sequence[str] = K.HEADER_MARKERS,
@@ -72,20 +76,64 @@ def _decoded(value: Column) -> Column:
     return F.regexp_replace(text, "^﻿|\r$", "")
 
 
+def _lines(spark: SparkSession, heads: Sequence[FileHead]) -> DataFrame:
+    return spark.read.text([h.path for h in heads]).select(
+        _decoded(F.col("value")).alias("line"), F.col("_metadata.file_name").alias("source_file"),
+        F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
+
+
+def _broken_files(lines: DataFrame) -> set[str]:
+    """Paths of files in which a quote stays open at the end of a line."""
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    return {r[0] for r in lines.where(quotes % 2 == 1).select("_path").distinct().collect()}  # at most one row per file
+
+
+def _plain_path(path: str) -> str:
+    return re.sub("^file:/+", "/", path)
+
+
 def _parse(spark: SparkSession, heads: Sequence[FileHead]) -> DataFrame:
-    """Lines of files with one and the same header, parsed; ``_extra`` is set on lines with too many fields."""
+    """Records of files with one and the same header; ``malformed`` is set on records with too many fields.
+
+    Files are read line by line. Those with line breaks inside quotes are read as a whole each, one task per file.
+    """
+    lines = _lines(spark, heads)
+    broken = _broken_files(lines)
+    frames = []
+    if plain := [h for h in heads if _plain_path(h.path) not in broken]:
+        frames.append(_parse_lines(spark, plain))
+    frames += [_parse_whole(spark, h) for h in heads if _plain_path(h.path) in broken]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+def _parse_lines(spark: SparkSession, heads: Sequence[FileHead]) -> DataFrame:
     ddl = ", ".join(f"`{c}` STRING" for c in [*heads[0].columns, _EXTRA])
-    lines = spark.read.text([h.path for h in heads]).select(
-        _decoded(F.col("value")).alias("line"), F.col("_metadata.file_name").alias("source_file"),
-        F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"))
-    # ten lines per file: Catalyst broadcasts them while they fit
-    skipped = spark.createDataFrame(
-        [(h.path, line.lstrip("﻿")) for h in heads for line in set(h.skipped)], "path string, head string")
-    same_file = F.regexp_replace("_path", "^file:/+", "/") == F.regexp_replace("path", "^file:/+", "/")
-    body = lines.join(skipped, same_file & (F.col("line") == F.col("head")) & (F.col("_start") == 0), "left_anti")
-    parsed = body.where("line <> ''").select("source_file", F.from_csv(
+    lines = _lines(spark, heads)
+    # ten lines per file: Catalyst broadcasts them while they fit. Of the lines of a file's first block that equal a line of its head, as many as the
+    # head has are dropped, the first ones; later lines of the same text stay
+    times = Counter((_plain_path(h.path), line.lstrip("\ufeff")) for h in heads for line in h.skipped)
+    skipped = spark.createDataFrame([(p, line, n) for (p, line), n in times.items()], "path string, head string, times int")
+    same = (F.col("_path") == F.col("path")) & (F.col("line") == F.col("head")) & (F.col("_start") == 0)
+    order = Window.partitionBy("_path", "line").orderBy("_place")
+    placed = lines.withColumn("_place", F.monotonically_increasing_id())
+    again = placed.join(skipped, same).withColumn("_number", F.row_number().over(order)).where("_number > times").select(lines.columns)
+    body = lines.join(skipped, same, "left_anti").unionByName(again)
+    unquoted = F.regexp_replace("line", '"[^"]*"', "")  # a doubled quote is two quoted stretches
+    n_fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    parsed = body.where("line <> ''").select("source_file", (n_fields > len(heads[0].columns)).alias("malformed"), F.from_csv(
         "line", ddl, {"mode": "PERMISSIVE", "quote": '"', "escape": '"'}).alias("r"))
-    return parsed.select("source_file", "r.*")
+    return parsed.select("source_file", "malformed", "r.*").drop(_EXTRA)
+
+
+def _parse_whole(spark: SparkSession, head: FileHead) -> DataFrame:
+    """A file with line breaks inside quotes: its records after those of its head, of which blank lines are none."""
+    ddl = ", ".join(f"`{c}` STRING" for c in [*head.columns, _EXTRA])
+    latin = spark.read.text(head.path).where(~F.is_valid_utf8("value")).limit(1).count() > 0
+    records = spark.read.schema(ddl).csv(head.path, multiLine=True, quote='"', escape='"', encoding="ISO-8859-1" if latin else "UTF-8", nullValue="", emptyValue="")
+    numbered = records.select("*", F.col("_metadata.file_name").alias("source_file")).withColumn(
+        "_number", F.row_number().over(Window.partitionBy("source_file").orderBy(F.monotonically_increasing_id())))
+    n_head = sum(1 for line in head.skipped if line.strip())
+    return numbered.where(F.col("_number") > n_head).withColumn("malformed", F.col(_EXTRA).isNotNull()).select("source_file", "malformed", *[f"`{c}`" for c in head.columns])
 
 
 def scan_lines(spark: SparkSession, paths: Sequence[str], markers: Sequence[str] = K.HEADER_MARKERS,
@@ -95,8 +143,7 @@ def scan_lines(spark: SparkSession, paths: Sequence[str], markers: Sequence[str]
     for path in paths:
         head = sniff(spark, path, markers, preamble)
         groups.setdefault(head.columns, []).append(head)
-    frames = [_parse(spark, heads).withColumn("malformed", F.col(_EXTRA).isNotNull()).drop(_EXTRA)
-              for heads in groups.values()]
+    frames = [_parse(spark, heads) for heads in groups.values()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

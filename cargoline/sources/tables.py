@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +14,29 @@ from cargoline.sources import files
 
 #: columns of a dictionary file, by our name
 DICTIONARY_COLUMNS = {"keyword": "Keyword", "product_line": "Dòng SP", "kind": "Loại", "class1": "Lớp 1",
-                      "class2": "Lớp 2", "hs_code": "Mã HS"}
+                      "class2": "Lớp 2", "hs_code": "Mã HS", "n_products": "Số lượng SP"}
 
 
 def load_dictionary(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Dictionary entries of all files, in file and line order. Missing columns and null words become the sentinel."""
-    raw = files.scan(spark, paths, markers=["Keyword"], preamble=0)
-    placed = raw.withColumn("_place", F.struct("source_file", F.monotonically_increasing_id().alias("line")))
+    """Dictionary entries of all files, in the order of ``paths`` and of their lines. Missing columns and null words become the sentinel;
+    ``n_products`` is null where a file does not tell it."""
+    frames = [files.scan(spark, [p], markers=["Keyword"], preamble=0).withColumn("_file", F.lit(k)) for k, p in enumerate(paths)]
+    raw = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    placed = raw.withColumn("_place", F.struct("_file", F.monotonically_increasing_id().alias("line")))
     have = set(raw.columns)
     value = lambda c: F.col(f"`{DICTIONARY_COLUMNS[c]}`") if DICTIONARY_COLUMNS[c] in have else F.lit(None).cast("string")
     entries = placed.select(
         "_place", text.split_keywords(F.lower(value("keyword"))).alias("keywords"),
-        *[labels.or_no_label(value(c)).alias(c) for c in [*K.LABEL_COLUMNS, "hs_code"]])
+        *[labels.or_no_label(value(c)).alias(c) for c in [*K.LABEL_COLUMNS, "hs_code"]], F.try_to_number(F.trim(value("n_products")), F.lit("999999999999")).cast("bigint").alias("n_products"))
     return number_sorted(entries, "_place", "entry_id").drop("_place")
 
 
 def write_dictionary(dictionary: DataFrame, path: str) -> None:
-    """Dictionary in the exchange format: comma-separated keywords and the file's column names, sorted for reading."""
-    out = dictionary.select(F.array_join("keywords", ", ").alias("Keyword"), *[
-        F.col(c).alias(name) for c, name in DICTIONARY_COLUMNS.items() if c != "keyword"])
-    files.write_csv(out.sortWithinPartitions("`Mã HS`"), path)
+    """Dictionary in the exchange format: comma-separated keywords and the file's column names, by code, larger entries first."""
+    have = [c for c in DICTIONARY_COLUMNS if c in dictionary.columns]
+    out = dictionary.select(F.array_join("keywords", ", ").alias("Keyword"), *[F.col(c).alias(DICTIONARY_COLUMNS[c]) for c in have])
+    order = [F.col(f"`{DICTIONARY_COLUMNS['hs_code']}`")] + [F.desc(f"`{DICTIONARY_COLUMNS[c]}`") for c in have if c == "n_products"]
+    files.write_csv(out.orderBy(*order), path)
 
 
 def label_aliases(spark: SparkSession, path: str) -> DataFrame:

@@ -28,7 +28,7 @@ def test_join_hot_equals_plain_join(spark):
     counts = left.groupBy("k").agg(F.count("*").alias("n"))
     hot = joins.hottest(counts, ["k"], "n", 5)
     for how in ("left", "inner"):
-        a = joins.join_hot(left, right, ["k"], hot, F.col("id"), how, salts=8).select("id", "k", "v")
+        a = joins.join_hot(left, right, ["k"], hot, F.col("id"), how, rows_per_salt=100).select("id", "k", "v")
         b = left.join(right, "k", how).select("id", "k", "v")
         assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
