@@ -61,17 +61,25 @@ def _run(a: Column, b: Column) -> Column:
     return F.when(first > 0, first.cast("int") - 1).otherwise(F.size(a))
 
 
-def _measure(hits: DataFrame) -> DataFrame:
-    """Matched stretches of words around each posting: from the row's ``words``, ``at``, ``item``, ``item_at`` and ``length``."""
+def _around(hits: DataFrame) -> DataFrame:
+    """Of each posting the words that a window over it can hold, if a neighbouring word agrees too; ``first`` is the place of the first of them."""
     n, at, place = F.col("length"), F.col("at"), F.col("item_at")
     word, item = F.col("words"), F.col("item")
-    before = F.least(n - 1, at, place)
-    after = F.least(n - 1, F.size(word) - at - 1, F.size(item) - place - 1)
+    first = F.greatest(at - n + 1, F.lit(0))
     beside = (n == 1) | (F.get(word, at - 1) == F.get(item, place - 1)) | (F.get(word, at + 1) == F.get(item, place + 1))
+    return hits.where(F.coalesce(beside, F.lit(False))).select(
+        "id", "text_hash", "item_id", "item", "item_at", "length", first.alias("first"), (at - first).alias("at"), F.slice(word, first + 1, at - first + n).alias("words"))
+
+
+def _measure(near_postings: DataFrame) -> DataFrame:
+    """Matched stretches of words around each posting."""
+    n, at, place = F.col("length"), F.col("at"), F.col("item_at")
+    word, item = F.col("words"), F.col("item")
+    before = F.least(at, place)
+    after = F.least(F.size(word) - at - 1, F.size(item) - place - 1, n - 1)
     left = _run(F.reverse(F.slice(word, at - before + 1, before)), F.reverse(F.slice(item, place - before + 1, before)))
     right = _run(F.slice(word, at + 2, after), F.slice(item, place + 2, after))
-    measured = hits.where((before + after + 1 >= n) & F.coalesce(beside, F.lit(False))).select(
-        "id", "text_hash", "item_id", "at", "length", left.alias("left"), right.alias("right"))
+    measured = near_postings.select("id", "text_hash", "item_id", "length", (F.col("first") + at).alias("at"), left.alias("left"), right.alias("right"))
     return measured.where("left + right + 1 >= length").select(
         "id", "text_hash", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right") + 1).alias("stop"))
 
@@ -84,37 +92,31 @@ def phrase_matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", te
     hint = F.broadcast if small else (lambda df: df)
     source = keyed(docs, id_col, text)
     terms = items.select(F.explode("item").alias("term")).distinct()
-    counts = materialize(term_counts(source.select(F.explode("words").alias("term")), hint(terms)), "term-counts")
+    # the outer form of explode: else Spark cuts every text into words once more to filter the empty ones
+    counts = materialize(term_counts(source.select(F.explode_outer("words").alias("term")), hint(terms)), "term-counts")
     entries = materialize(_entries(items, counts), "index-entries")
     if small:
-        postings = source.select("id", "text_hash", "words", F.posexplode("words").alias("at", "term"))
-        return _measure(postings.join(F.broadcast(entries), "term")).distinct()
-    postings = source.select("id", "text_hash", F.posexplode("words").alias("at", "term")).join(entries.select("term").distinct(), "term")
-    found = postings.join(entries, "term").drop("term")
-    return _measure(found.join(source, (source.id.eqNullSafe(found.id)) & (source.text_hash == found.text_hash)).select(
-        found.id, found.text_hash, "words", "at", "item_id", "item", "length", "item_at")).distinct()
+        postings = source.select("id", "text_hash", "words", F.posexplode_outer("words").alias("at", "term"))
+        found = _around(postings.join(F.broadcast(entries), "term"))
+    else:
+        postings = source.select("id", "text_hash", F.posexplode_outer("words").alias("at", "term")).join(entries, "term").withColumnsRenamed({"id": "i", "text_hash": "h"})
+        found = _around(postings.join(source, source["id"].eqNullSafe(postings["i"]) & (source["text_hash"] == postings["h"])))
+    # written: the steps up to here compile into one loop over a text's words, which the list functions that follow would break up
+    return _measure(materialize(found, "near-postings")).distinct()
 
 
 def near(docs: DataFrame, terms: list[str], distance: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text_hash, start, stop): places where all ``terms`` stand within ``distance`` words, in any order, from the rarest term's postings.
-
-    The stretch is the shortest around a posting of the rarest term that holds the nearest posting of every other term.
-    """
+    """(id, text_hash, at): postings of the rarest of ``terms`` that share a window of ``distance`` words with all the others, in any order."""
     wanted = docs.sparkSession.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
     source = keyed(docs, id_col, text)
-    counts = {r["term"]: r["n"] for r in term_counts(source.select(F.explode("words").alias("term")), F.broadcast(wanted)).collect()}
+    counts = {r["term"]: r["n"] for r in term_counts(source.select(F.explode_outer("words").alias("term")), F.broadcast(wanted)).collect()}  # one row per term
     rarest, *others = sorted(counts, key=lambda t: (counts[t], t))
-    rows = source.select("id", "text_hash", "words", F.posexplode("words").alias("at", "term")).where(F.col("term") == rarest)
-    first = F.greatest(F.col("at") - distance, F.lit(0))
-    rows = rows.select("id", "text_hash", "at", first.alias("first"), F.slice("words", first + 1, F.lit(2 * distance + 1)).alias("around"))
-    ends = [F.col("at")]
-    for k, other in enumerate(others):
-        places = F.filter(F.transform("around", lambda w, i, o=other: F.when(w == o, i + F.col("first"))), lambda p: p.isNotNull())
-        nearest = F.array_min(F.transform(places, lambda p: F.struct(F.abs(p - F.col("at")).alias("d"), p.alias("p"))))["p"]
-        rows = rows.withColumn(f"near_{k}", nearest).where(f"near_{k} IS NOT NULL")
-        ends.append(F.col(f"near_{k}"))
-    low, high = (F.least(*ends), F.greatest(*ends)) if len(ends) > 1 else (ends[0], ends[0])
-    return rows.select("id", "text_hash", low.alias("start"), (high + 1).alias("stop")).where(F.col("stop") - F.col("start") <= distance).distinct()
+    first = F.greatest(F.col("at") - distance + 1, F.lit(0))
+    rows = source.select("id", "text_hash", "words", F.posexplode_outer("words").alias("at", "term")).where(F.col("term") == rarest).select(
+        "id", "text_hash", "at", first.alias("first"), F.slice("words", first + 1, F.lit(2 * distance)).alias("around"))
+    together = F.exists(F.sequence(F.col("first"), F.col("at")), lambda s: F.size(F.array_except(
+        F.array(*[F.lit(t) for t in others]).cast("array<string>"), F.slice("around", s - F.col("first") + 1, F.lit(distance)))) == 0)
+    return rows.where(together).select("id", "text_hash", "at").distinct()
 
 
 def decontaminate(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text",

@@ -4,11 +4,11 @@ Vectors are compared within a label only. Equal vectors become one node with a n
 k-means, again and again until a cell holds ``cell_size`` nodes at most; a node whose second-nearest centre is nearly as near goes to both cells,
 so shards overlap. In each shard every node gets pruned neighbours (a neighbour is dropped when one already taken is nearer to it by the factor
 ``alpha``), and the adjacency lists of all shards are united per node. A search shard is a cell with the nodes its lists lead to. The members whose first
-cell it is are the queries: all go from the medoid greedily to their own place, then the range expands through every node above a margin
-below the threshold. Links are verified by the cosine in double precision. Links within a shard are counted and their components found there; links
+cell it is are the queries: all go from the medoids greedily to their own place, then the range expands through every node above a margin
+below the threshold. A part of the graph that no medoid leads to hangs on its nearest reached node. Links are verified by the cosine in double precision. Links within a shard are counted and their components found there; links
 that leave it are given as pairs, from either side, and counted once.
 
-Cells that k-means can't split (a dense family) are cut into blocks, and each pair of blocks is a shard of its own, compared through
+Centres closer than twice the distance of two linked vectors make one cell. Cells that k-means can't split (a dense family) are cut into blocks, and each pair of blocks is a shard of its own, compared through
 its own graph from either side, so no task holds more than two blocks and no pair of blocks is left out.
 
 k-means is fitted on at most ``SAMPLE`` nodes of a cell; every node is indexed. ``recall`` compares at most ``AUDIT`` queries with all vectors.
@@ -39,6 +39,8 @@ DEGREE, BEAM, ALPHA = 24, 24, 1.2
 #: How far below the threshold the range search goes on through the graph.
 MARGIN = 0.06
 ROUNDS = 12
+#: Medoids that a search starts from, at most.
+MEDOIDS = 32
 #: Open nodes that one step expands.
 _STEP = 8
 AUDIT = 256
@@ -77,10 +79,15 @@ def _split(cells: DataFrame, big: DataFrame, cell_size: int) -> DataFrame:
     def centre(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         c = kmeans(_unit(pdf["embedding"]), min(CENTRES, 2 * int(np.ceil(pdf["members"].iloc[0] / cell_size)), len(pdf)))
-        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "members": pdf["members"].iloc[0], "centre": range(len(c)), "vector": list(c)})
+        # centres that near vectors could lie between make one cell: a family of near-duplicates is not cut
+        group = np.arange(len(c))
+        for k in range(len(c)):
+            near = np.sqrt(((c - c[k]) ** 2).sum(axis=1)) < 2 * SLACK
+            group[np.isin(group, group[near])] = group[near].min()
+        return pd.DataFrame({"cell": pdf["cell"].iloc[0], "members": pdf["members"].iloc[0], "group": group, "vector": list(c)})
 
     centres = materialize(fit.select("cell", "members", "node", "embedding").groupBy("cell").applyInPandas(
-        centre, "cell string, members bigint, centre int, vector array<double>"), "centres")
+        centre, "cell string, members bigint, group int, vector array<double>"), "centres")
     parts = F.ceil(F.col("members") / PART)
     placed = cells.join(big, "cell").withColumn("part", F.pmod(F.xxhash64("node"), parts))
     spread = centres.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
@@ -88,17 +95,19 @@ def _split(cells: DataFrame, big: DataFrame, cell_size: int) -> DataFrame:
     def assign(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"cell": [], "node": [], "copies": [], "embedding": [], "first": []})
-        x, c = _unit(left["embedding"]), np.array(right.sort_values("centre")["vector"].tolist())
-        distance = np.sqrt(np.maximum((c * c).sum(axis=1) + 1 - 2 * (x @ c.T), 0))
+        x, c, group = _unit(left["embedding"]), np.array(right["vector"].tolist()), right["group"].to_numpy()
+        own = np.sqrt(np.maximum((c * c).sum(axis=1) + 1 - 2 * (x @ c.T), 0))
+        groups = np.unique(group)
+        distance = np.stack([own[:, group == g].min(axis=1) for g in groups], axis=1)
         order = np.argsort(distance, axis=1)
         rows = np.arange(len(x))
         names = left["cell"].to_numpy() + "/"
-        out = [pd.DataFrame({"cell": names + order[:, 0].astype(str), "node": left["node"], "copies": left["copies"], "embedding": left["embedding"], "first": left["first"]})]
-        if c.shape[0] > 1:
+        out = [pd.DataFrame({"cell": names + groups[order[:, 0]].astype(str), "node": left["node"], "copies": left["copies"], "embedding": left["embedding"], "first": left["first"]})]
+        if len(groups) > 1:
             also = distance[rows, order[:, 1]] <= distance[rows, order[:, 0]] + SLACK
             also &= left["first"].to_numpy()  # a node is in two cells at most for each split of its first cell
             if also.any():
-                out.append(pd.DataFrame({"cell": (names + order[:, 1].astype(str))[also], "node": left["node"][also], "copies": left["copies"][also],
+                out.append(pd.DataFrame({"cell": (names + groups[order[:, 1]].astype(str))[also], "node": left["node"][also], "copies": left["copies"][also],
                                          "embedding": left["embedding"][also], "first": False}))
         return pd.concat(out)
 
@@ -163,7 +172,44 @@ def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "near": [nodes[n] for n in robust_prune(_unit(pdf["embedding"]))]})
 
 
-def range_search(x: np.ndarray, near: np.ndarray, queries: np.ndarray, start: int, threshold: float, beam: int = BEAM, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+def medoids(x: np.ndarray) -> np.ndarray:
+    """Nodes nearest to the centres of about sqrt(n) groups, and to the mean of all."""
+    centres = [x.mean(axis=0), *kmeans(x, min(len(x), MEDOIDS, int(np.ceil(np.sqrt(len(x))))), 2)]
+    return np.unique((np.array(centres) @ x.T).argmax(axis=1))
+
+
+def connected(x: np.ndarray, lists: list[list[int]], starts: np.ndarray) -> np.ndarray:
+    """The adjacency lists as a padded matrix in which every node can be reached: what the starts don't lead to hangs on the nearest node they do."""
+    reached = np.zeros(len(x), dtype=bool)
+    best, holder = np.full(len(x), -np.inf), np.zeros(len(x), dtype=np.int64)
+    new = [int(n) for n in starts]
+    while True:
+        found = []
+        for n in new:
+            reached[n] = True
+        while new:
+            found += new
+            near = {m for n in new for m in lists[n] if not reached[m]}
+            new = sorted(near)
+            reached[new] = True
+        if reached.all():
+            break
+        rest = np.flatnonzero(~reached)
+        sims = x[rest] @ x[found].T
+        top = sims.argmax(axis=1)
+        value = sims[np.arange(len(rest)), top]
+        better = value > best[rest]
+        best[rest[better]], holder[rest[better]] = value[better], np.array(found)[top[better]]
+        node = int(rest[best[rest].argmax()])
+        lists[int(holder[node])].append(node)
+        new = [node]
+    padded = np.full((len(x), max(1, max(map(len, lists)))), -1, dtype=np.int64)
+    for k, found in enumerate(lists):
+        padded[k, : len(found)] = found
+    return padded
+
+
+def range_search(x: np.ndarray, near: np.ndarray, queries: np.ndarray, starts: np.ndarray, threshold: float, beam: int = BEAM, margin: float = MARGIN) -> tuple[np.ndarray, np.ndarray]:
     """(row of ``queries``, node) of what each query finds at ``threshold`` or above, itself left out.
 
     ``near`` holds the neighbours of each node, -1 where there is none. All queries go on together; a step expands each one's best open nodes
@@ -173,7 +219,7 @@ def range_search(x: np.ndarray, near: np.ndarray, queries: np.ndarray, start: in
     wide, few = min(_STEP, n), min(beam, n)
     sims = np.full((q, n), -np.inf)  # of what a query has seen
     waiting = np.full((q, n), -np.inf)  # of what it has seen and not expanded
-    sims[:, start] = waiting[:, start] = x[queries] @ x[start]
+    sims[:, starts] = waiting[:, starts] = x[queries] @ x[starts].T
     active = np.arange(q)
     while len(active):
         open_sims = waiting[active]
@@ -211,17 +257,13 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     query, target, tiled = pdf["query"].to_numpy(), pdf["target"].to_numpy(), bool(pdf["tiled"].iloc[0])
     place = {v: k for k, v in enumerate(nodes.tolist())}
     lists = [[place[v] for v in found if v in place] for found in pdf["near"]]
-    width = max(1, max(map(len, lists)))
-    near = np.full((len(nodes), width), -1, dtype=np.int64)
-    for k, found in enumerate(lists):
-        near[k, : len(found)] = found
-    mean = x.mean(axis=0)
-    medoid = int((x @ mean).argmax())
+    starts = medoids(x)
+    near = connected(x, lists, starts)
     asked = np.flatnonzero(query)
     ends: list[tuple[np.ndarray, np.ndarray]] = []
     for first in range(0, len(asked), _QUERIES):
         part = asked[first : first + _QUERIES]
-        rows, found = range_search(x, near, part, medoid, threshold)
+        rows, found = range_search(x, near, part, starts, threshold)
         ends.append((part[rows], found))
     a = np.concatenate([e[0] for e in ends]) if ends else np.array([], dtype=np.int64)
     b = np.concatenate([e[1] for e in ends]) if ends else np.array([], dtype=np.int64)

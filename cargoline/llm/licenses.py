@@ -77,7 +77,8 @@ def _pairs(spark, templates: tuple[Template, ...]) -> DataFrame:
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
     """(id, text_hash, label, base, start, stop, share): verified places of the templates, in words from 0, ``stop`` exclusive."""
-    rows = keyed(docs, id_col, text).select("id", "text_hash", "words", F.posexplode("words").alias("at", "word"))
+    # the outer form of explode: else Spark cuts every text into words once more to filter the empty ones
+    rows = keyed(docs, id_col, text).select("id", "text_hash", "words", F.posexplode_outer("words").alias("at", "word"))
     rows = rows.withColumn("next", F.get("words", F.col("at") + 1)).where("next IS NOT NULL").select(
         "id", "text_hash", "at", "word", "next", F.xxhash64("word", "next").alias("pair"))
     votes = rows.join(F.broadcast(_pairs(docs.sparkSession, templates)), "pair").where("word = first AND next = second")
