@@ -167,14 +167,14 @@ def classify_cascade(spark, sf_dir):
 
 
 @query("classify_cascade_edges", ("cascade",), f"""SELECT 1 AS row_id, {L4}, status, round(confidence, 6) AS confidence FROM cascade
-UNION ALL SELECT row_id, '', '', '', '', 'review', 0.0 FROM cascade""")
+UNION ALL SELECT row_id, '', '', '', '', 'review', NULL FROM cascade""")
 def classify_cascade_edges(spark, sf_dir):
     """All declarations under one and the same row id, and all of them once more without code and text."""
     rows = views.rows(spark, sf_dir).select("row_id", "hs_code", "clean_text")
     nothing = rows.select("row_id", F.lit(None).cast("string").alias("hs_code"), F.lit(None).cast("string").alias("clean_text"))
     both = rows.withColumn("row_id", F.lit(1).cast(rows.schema["row_id"].dataType)).unionByName(nothing)
     out = cascade.classify(both, ground_truth(spark, sf_dir), dictionary(spark, sf_dir), model(spark, sf_dir))
-    return out.select("row_id", *K.LABEL_COLUMNS, "status", F.round("confidence", 6).alias("confidence"))
+    return out.select("row_id", *K.LABEL_COLUMNS, "status", F.round(F.when(F.col("clean_text").isNotNull(), F.col("confidence")), 6).alias("confidence"))
 
 
 cte("feature_rows", ("rows_",), "SELECT row_id, hs_code, feature AS clean_text, brand, power FROM (" + f"""
@@ -217,6 +217,18 @@ def knowledge_refresh(spark, sf_dir):
         n(known.model.classes, "n_classes"), "hs_code")
 
 
+@query("classify_from_saved_knowledge", ("cascade",), f"SELECT row_id, {L4}, status, round(confidence, 6) AS confidence FROM cascade")
+def classify_from_saved_knowledge(spark, sf_dir):
+    """Knowledge refreshed, saved in the shared folder and loaded again classifies like the knowledge in memory."""
+    from cargoline.plans.refresh import load, refresh, save
+    from cargoline.session import scratch_path
+    base = scratch_path(spark, "knowledge")
+    save(refresh(views.history(spark, sf_dir)), base)
+    known = load(spark, base)
+    out = cascade.classify(views.rows(spark, sf_dir), known.ground_truth, known.dictionary, known.model)
+    return out.select("row_id", *K.LABEL_COLUMNS, "status", F.round("confidence", 6).alias("confidence"))
+
+
 @query("label_support", ("rows_",), f"""SELECT label, count(*)::BIGINT AS n FROM (
   SELECT {LABEL4} AS label FROM rows_) t GROUP BY 1 HAVING count(*) >= 5""")
 def label_support(spark, sf_dir):

@@ -76,3 +76,16 @@ def test_dictionary_files_keep_path_order_and_counts(spark, tmp_path):
     paths = [files.list_files(spark, str(tmp_path / n), ".csv")[0] for n in ("z", "a")]
     got = tables.load_dictionary(spark, paths).orderBy("entry_id").collect()
     assert [(r.keywords, r.n_products) for r in got] == [(["gear"], 7), (["bolt"], None)]
+
+
+def test_saved_knowledge_is_replaced_at_once(spark, tmp_path):
+    from cargoline.operators import classifier
+    from cargoline.plans.refresh import Knowledge, load, save
+
+    truth = known(spark)
+    model = classifier.train(truth.withColumn("label", F.col("class1")))
+    first = save(Knowledge(truth, entries(spark), model), str(tmp_path))
+    second = save(Knowledge(truth.limit(1), entries(spark), model), str(tmp_path))
+    got = load(spark, str(tmp_path))
+    assert first != second and got.ground_truth.count() == 1 and got.model.group == model.group
+    assert sorted(map(tuple, got.model.classes.collect())) == sorted(map(tuple, model.classes.collect()))
