@@ -97,3 +97,16 @@ def merge_dictionaries(by_priority: dict[int, DataFrame]) -> DataFrame:
     best = F.min(F.struct((-F.col("priority")).alias("order"), "entry_id", "priority", *K.LABEL_COLUMNS))
     return union.groupBy("hs_code", "keyword").agg(best.alias("b")).select(
         "hs_code", "keyword", "b.priority", "b.entry_id", *[F.col(f"b.{c}") for c in K.LABEL_COLUMNS])
+
+
+def merge_active(entries: DataFrame, dictionaries: DataFrame, users: DataFrame, admin: str = "admin") -> DataFrame:
+    """Keywords of all active dictionaries by their owners: an administrator's entry before a user's, then the first entry.
+
+    ``entries`` have a ``dictionary_id``, ``dictionaries`` tell owner and ``is_active``, ``users`` tell the role.
+    """
+    active = dictionaries.where("is_active").join(users, dictionaries["owner_id"] == users["user_id"]).select(
+        "dictionary_id", (F.col("role") == admin).cast("int").alias("priority"))
+    union = entries.join(active, "dictionary_id").select("hs_code", F.explode("keywords").alias("keyword"), "priority", "entry_id", *K.LABEL_COLUMNS)
+    best = F.min(F.struct((-F.col("priority")).alias("order"), "entry_id", "priority", *K.LABEL_COLUMNS))
+    return union.groupBy("hs_code", "keyword").agg(best.alias("b")).select(
+        "hs_code", "keyword", "b.priority", "b.entry_id", *[F.col(f"b.{c}") for c in K.LABEL_COLUMNS])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,6 +116,15 @@ def spot_check(df: DataFrame, by: str, key: str, per_group: int = 10, seed: int
     return df.withColumn("_rank", rank).where(F.col("_rank") <= per_group).drop("_rank")
 
 
+def spot_check_strata(df: DataFrame, by: str, key: str, sizes: Mapping[str, int], per_group: int = 10, seed: int = 42) -> DataFrame:
+    """``spot_check`` with a size of its own for the groups named in ``sizes``, such as the review rows."""
+    wanted = F.coalesce(*[F.when(F.col(by) == g, n) for g, n in sizes.items()], F.lit(per_group))
+    drawn = spot_check(df, by, key, max([per_group, *sizes.values()]), seed)
+    order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(order, key))
+    return drawn.withColumn("_rank", rank).where(F.col("_rank") <= wanted).drop("_rank")
+
+
 def merge_sources(rows: DataFrame, dict_result: DataFrame, model_result: DataFrame) -> DataFrame:
     """Dictionary result where there is one, else the model's, else none; joined by row id, never by position."""
     d = dict_result.select("row_id", "dict_label", "dict_confidence")

@@ -58,6 +58,20 @@ def resolve(code_rows: DataFrame, taxonomy: DataFrame, reference: DataFrame) ->
         pick("source", F.lit("offline")))
 
 
+def preclassify(code_rows: DataFrame, taxonomy: DataFrame, dictionary: DataFrame, min_products: int = 100) -> DataFrame:
+    """Product line and kind of each distinct ``code`` from its taxonomy record, where the dictionary has an entry of more than
+    ``min_products`` products under the record's prefix; null else. The lower levels are left to the classification.
+
+    The entries' codes become prefixes, so records and entries meet by equality.
+    """
+    counts = dictionary.select(codes.hs_digits(F.col("hs_code")).alias("code"), "n_products").groupBy("code").agg(F.max("n_products").alias("n"))
+    prefixes = counts.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("code"), F.lit(1))), lambda n: F.substring("code", F.lit(1), n))).alias("matched_prefix"), "n")
+    frequent = prefixes.where("matched_prefix <> ''").groupBy("matched_prefix").agg(F.max("n").alias("n")).where(F.col("n") > min_products).select("matched_prefix", F.lit(True).alias("_frequent"))
+    matched = longest_prefix(code_rows, taxonomy).join(frequent, "matched_prefix", "left")
+    filled = lambda c, name: F.when(F.col("_frequent"), F.col(c)).alias(name)
+    return matched.select(*code_rows.columns, filled("product_line", "product_line"), filled("default_type", "kind"))
+
+
 def unresolved(resolved: DataFrame) -> DataFrame:
     return resolved.where("source is null").select("code")
 

@@ -214,3 +214,29 @@ def taxonomy_upsert(spark, sf_dir):
 def taxonomy_seed(spark, sf_dir):
     names = reference_table(spark, sf_dir).select(F.col("hs_code").alias("hs_code_prefix"), F.col("description").alias("industry_name"))
     return taxonomy.seed(names)
+
+
+@query("dict_active_owners", ("dictionary", "dictionary_b"), """SELECT keyword, hs_code, priority, class1, class2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY hs_code, keyword ORDER BY priority DESC, entry_id) AS rn FROM (
+    SELECT unnest(keywords) AS keyword, hs_code, 0 AS priority, class1, class2, entry_id FROM dictionary
+    UNION ALL SELECT unnest(keywords), hs_code, 1, class1, class2, entry_id FROM dictionary_b) t) u WHERE rn = 1""")
+def dict_active_owners(spark, sf_dir):
+    """A user's and an administrator's dictionary, and an inactive one of the administrator that must not count."""
+    from functools import reduce
+
+    from cargoline.operators.knowledge import merge_active
+
+    tagged = [d.select("entry_id", "keywords", "hs_code", *K.LABEL_COLUMNS).withColumn("dictionary_id", F.lit(k)) for k, d in (
+        (1, shared.dictionary(spark, sf_dir)), (2, shared.dictionary_b(spark, sf_dir)),
+        (3, shared.dictionary(spark, sf_dir).withColumns({c: F.lit("inactive") for c in K.LABEL_COLUMNS})))]
+    owned = spark.createDataFrame([(1, 7, True), (2, 8, True), (3, 8, False)], "dictionary_id int, owner_id int, is_active boolean")
+    users = spark.createDataFrame([(7, "user"), (8, "admin")], "user_id int, role string")
+    return merge_active(reduce(lambda a, b: a.unionByName(b), tagged), owned, users).select("keyword", "hs_code", "priority", "class1", "class2")
+
+
+@query("hs_preclassify", ("prefix_match", "dictionary_b"), """SELECT code, n_rows, CASE WHEN n > 10 THEN product_line END AS product_line, CASE WHEN n > 10 THEN default_type END AS kind
+FROM (SELECT p.code, any_value(p.n_rows) AS n_rows, any_value(p.product_line) AS product_line, any_value(p.default_type) AS default_type, max(d.n_products) AS n
+      FROM prefix_match p LEFT JOIN dictionary_b d ON starts_with(regexp_replace(d.hs_code, '\\D', '', 'g'), p.hs_code_prefix) GROUP BY p.code) t""")
+def hs_preclassify(spark, sf_dir):
+    """Line and kind from the taxonomy where the dictionary has an entry of more than ten products under the code's prefix."""
+    return taxonomy.preclassify(code_rows(spark, sf_dir), taxonomy_table(spark, sf_dir), shared.dictionary_b(spark, sf_dir), 10)

@@ -318,3 +318,17 @@ def page_rows(spark, sf_dir):
 QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY md5(row_id || ':42'), row_id) <= 10""")
 def spotcheck_sample(spark, sf_dir):
     return R.spot_check(views.goods(spark, sf_dir).select("row_id", "source_file"), "source_file", "row_id")
+
+
+@query("spotcheck_by_status", ("cascade",), """SELECT row_id, status FROM cascade
+QUALIFY row_number() OVER (PARTITION BY status ORDER BY md5(row_id || ':42'), row_id) <= CASE WHEN status = 'review' THEN 20 ELSE 10 END""")
+def spotcheck_by_status(spark, sf_dir):
+    """Rows by the source of their label, and more of those left for review."""
+    return R.spot_check_strata(shared.cleaned(spark, sf_dir).select("row_id", "status"), "status", "row_id", {K.STATUS_REVIEW: 20})
+
+
+@query("consistency_of_output", ("cascade",), """SELECT hs_code, clean_text, count(*)::BIGINT AS n, min(class2) AS low, max(class2) AS high
+FROM cascade GROUP BY hs_code, clean_text HAVING count(DISTINCT class2) > 1""")
+def consistency_of_output(spark, sf_dir):
+    """The cascade gives one label per input: no row may show."""
+    return R.inconsistent_inputs(shared.cleaned(spark, sf_dir), ["hs_code", "clean_text"], "class2")
