@@ -71,7 +71,7 @@ def plain_spans(text: str) -> list[Span]:
     return found
 
 
-# Look-alike letters of other scripts, spelled digits, words for "at" and "dot", brackets around them.
+# Look-alike letters of other scripts and for digits, spelled digits, words for "at" and "dot", brackets around them.
 _ALIKE = dict(zip("аеорсхуіјѕԁһкмтвнАВЕКМНОРСТХУІЈЅαονρτυικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcxyijsdhkmtbhABEKMHOPCTXYIJSaovptuikABEZHIKMNOPTYX", strict=True))
 _MARKS = {"。": ".", "․": ".", "·": ".", "•": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "−": "-",
           " ": " ", " ": " ", " ": " ", " ": " "}
@@ -81,6 +81,7 @@ _DIGIT_WORDS = {w: str(d) for words in (
     "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve") for d, w in enumerate(words.split())}
 _AT_WORDS = ("at", "arroba", "arobase", "klammeraffe")
 _DOT_WORDS = ("dot", "punkt", "point", "punto")
+_AS_DIGITS = str.maketrans("OoIl|", "00111")
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 
 
@@ -110,9 +111,11 @@ _DISGUISE = re.compile(
     rf"(?P<digits>(?<![^\W_])(?:{_words})(?:[ -](?:{_words}))*(?![^\W_]))"
     rf"|(?P<at>[ \t]*{_OPEN}[ \t]*(?:{_at}|@)[ \t]*{_CLOSE}[ \t]*|[ \t]+(?:{_at})[ \t]+(?={_LABEL}(?:\.{_LABEL})*[ \t]*(?:[ \t](?:{_dot})[ \t]|{_OPEN}[ \t]*(?:{_dot}|\.)[ \t]*{_CLOSE})))"
     rf"|(?P<dot>[ \t]*{_OPEN}[ \t]*(?:{_dot}|\.)[ \t]*{_CLOSE}[ \t]*|[ \t]+(?:{_dot})[ \t]+)"
+    r"|(?P<alike>(?<![^\W_])(?:[0-9]+[OoIl|][0-9OoIl|]*|[OoIl|]+[0-9][0-9OoIl|]*)(?![^\W_]))"
     r"|(?P<plus>(?<![^\W_])plus[ ]?(?=[0-9(]|(?:" + _words + r")(?![^\W_])))", re.IGNORECASE)
 _WORD = re.compile(_words, re.IGNORECASE)
 _BRACKETED = re.compile(rf"{_OPEN}[ \t]*(?i:{_at}|{_dot}|@|\.)[ \t]*{_CLOSE}")
+_MIXED = re.compile("[0-9][OoIl|]|[OoIl|][0-9]")
 #: Words that make a line worth rewriting; the French article "un" alone does not.
 _SIGNS = frozenset({*_DIGIT_WORDS, *_DOT_WORDS} - {"un"})
 
@@ -160,6 +163,8 @@ def transduce(text: str, pattern: re.Pattern, value) -> Rewritten:
 def _plain_form(m: re.Match) -> str:
     if m["digits"]:
         return "".join([_DIGIT_WORDS[w.lower()] for w in _WORD.findall(m["digits"])])
+    if m["alike"]:
+        return m["alike"].translate(_AS_DIGITS)
     return {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]
 
 
@@ -178,7 +183,7 @@ def disguised_spans(line: str) -> list[Span]:
 
 
 def _suspect(text: str) -> bool:
-    return bool((not text.isascii() and _ODD.search(text)) or _BRACKETED.search(text) or not _SIGNS.isdisjoint(text.lower().replace("-", " ").split()))
+    return bool((not text.isascii() and _ODD.search(text)) or _BRACKETED.search(text) or _MIXED.search(text) or not _SIGNS.isdisjoint(text.lower().replace("-", " ").split()))
 
 
 def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:
