@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
@@ -212,12 +212,15 @@ def weighted_hits(rows: DataFrame, dictionary: DataFrame, threshold: float = K.W
                                F.substring("entry_hs", 1, 4))
         hits = hits.withColumn("weight", F.when(row_heading != entry_heading, F.col("weight") / 10.0)
                                .otherwise(F.col("weight")))
-    # a row's hits are bounded by its own text, so they may sit in one array
-    spans = hits.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct(
+    # hits of different islands of overlapping spans can't clash, so each island is settled by itself: long texts take near-linear time
+    along = Window.partitionBy("row_id").orderBy("start", "stop")
+    reach = F.max("stop").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    islands = hits.withColumn("_first", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("island", F.sum("_first").over(along))
+    spans = islands.groupBy("row_id", "island").agg(F.array_sort(F.collect_list(F.struct(
         (-F.length("keyword")).alias("neg_length"), "start", "stop", "entry_id", "kind", "weight"))).alias("hits"))
-    kept = spans.select("row_id", F.posexplode(consume(F.col("hits"))).alias("position", "hit"))
+    kept = spans.select("row_id", F.explode(consume(F.col("hits"))).alias("hit"))
     scored = kept.groupBy("row_id", F.col("hit.entry_id").alias("entry_id")).agg(
-        F.round(F.sum("hit.weight"), 6).alias("score"), F.min("position").alias("position"),
+        F.round(F.sum("hit.weight"), 6).alias("score"), F.min(F.struct("hit.neg_length", "hit.start", "hit.stop")).alias("position"),
         F.first("hit.kind").alias("kind"))
     return _decide(_pick(scored, "position"), rows, entries, threshold)
 
@@ -248,12 +251,11 @@ def masked_hits(rows: DataFrame, dictionary: DataFrame, threshold: float = K.MAS
     open_rows = rows.where((F.size(text.words(F.col("clean_text"))) >= threshold)
                            | text.any_term(F.col("clean_text"), high_value))
     hits = _hits(open_rows, table, ["row_id"])
-    # the sum over all hits bounds the score from above; it folds in the map tasks, and only entries that can reach the
-    # threshold have their hits put in order
-    able = hits.groupBy("row_id", "entry_id").agg(F.sum("weight").alias("bound")).where(F.col("bound") >= threshold)
-    spans = hits.join(able.drop("bound"), ["row_id", "entry_id"], "left_semi").groupBy("row_id", "entry_id", "kind").agg(
-        F.array_sort(F.collect_list(F.struct((-F.length("keyword")).alias("neg_length"), "kw_pos", "start", "stop",
-                                             "weight"))).alias("hits"))
+    # the sum over all hits bounds the score from above: only entries that can reach the threshold have their hits put in
+    # order; sum and hits come from one pass, and a text's hits of one entry are bounded by the text
+    together = hits.groupBy("row_id", "entry_id", "kind").agg(F.sum("weight").alias("bound"), F.collect_list(F.struct(
+        (-F.length("keyword")).alias("neg_length"), "kw_pos", "start", "stop", "weight")).alias("hits"))
+    spans = together.where(F.col("bound") >= threshold).select("row_id", "entry_id", "kind", F.array_sort("hits").alias("hits"))
     scoring = F.array_distinct(F.transform(consume(F.col("hits")), lambda h: F.struct(h.kw_pos, h.weight)))
     total = F.aggregate(scoring, F.lit(0.0), lambda acc, s: acc + s.weight)
     scored = spans.select("row_id", "entry_id", "kind", total.alias("score")).where(F.col("score") >= threshold)
