@@ -75,6 +75,8 @@ def repeated(rolling: Rolling, start: np.ndarray, length: int, digit: int = DIGI
 
 def _stretches(place: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, first and end of the byte stretches that runs of neighbouring suffixes cover; sorted by owner, then place."""
+    if not len(place):
+        return owner, place, place
     head = np.ones(len(place), dtype=bool)
     head[1:] = (owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1)
     firsts = np.flatnonzero(head)
@@ -103,11 +105,16 @@ def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def _beside(source: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows of ``table`` with the text of their document, once each."""
-    some = table.where("mark IS NOT NULL").select(F.col("id").alias("i"), F.col("mark").alias("m")).distinct()
-    texts = source.join(some, source["id"].eqNullSafe(some["i"]) & (source["mark"] == some["m"]), "left_semi").dropDuplicates(["id", "mark"])
-    t = table.withColumnsRenamed({"id": "i", "mark": "m"})
-    return texts.join(t, texts["id"].eqNullSafe(t["i"]) & (texts["mark"] == t["m"])).drop("i", "m")
+    """Rows of ``table`` with the text of their document, once each.
+
+    The marks go first, as the side that a Bloom filter for the scan of the texts is made of: only texts that have rows are shuffled.
+    """
+    marks = materialize(table.groupBy(F.col("mark").alias("m")).agg(F.count("*").alias("n")), "marks").where("n > 0").select("m")
+    some = source.join(marks, source["mark"] == marks["m"], "left_semi")
+    t = table.withColumnsRenamed({"id": "i", "mark": "own"})
+    texts = some.dropDuplicates(["id", "mark"])
+    same = F.coalesce(texts["id"] == t["i"], texts["id"].isNull() & t["i"].isNull())  # no key of the join: the texts stay where their marks are
+    return texts.join(t, (texts["mark"] == t["own"]) & same).drop("i", "own")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
@@ -185,7 +192,7 @@ def _by_digits(source: DataFrame, open_kinds: DataFrame, kind: str, length: int)
         for batch in batches:
             while batch.num_rows:
                 keys = batch.column("key").to_numpy()
-                if held and sum(b.nbytes for b in held) > SLICE * 4:
+                if held and sum(b.nbytes for b in held) > SLICE:
                     same = int(np.searchsorted(keys, held[-1].column("key")[-1].as_py(), side="right"))
                     if same:
                         held.append(batch.slice(0, same))
@@ -194,7 +201,7 @@ def _by_digits(source: DataFrame, open_kinds: DataFrame, kind: str, length: int)
                         held = []
                     batch = batch.slice(same)
                     continue
-                size = max(1, int(batch.num_rows * SLICE * 4 / max(batch.nbytes, 1)))
+                size = max(1, int(batch.num_rows * SLICE / max(batch.nbytes, 1)))
                 held.append(batch.slice(0, size))
                 batch = batch.slice(size)
         if held:
