@@ -57,17 +57,18 @@ def usable(embedding: Column, label: Column, id_col: Column) -> Column:
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Centres of unit vectors, from seeds far apart."""
-    centres, far = [x[0]], 2 - 2 * (x @ x[0])
+    """Unit centres of unit vectors, from seeds far apart. Centres of length one keep the cells even where vectors point everywhere."""
+    centres, far = [x[0]], 1 - x @ x[0]
     for _ in range(k - 1):
         centres.append(x[int(far.argmax())])
-        far = np.minimum(far, 2 - 2 * (x @ centres[-1]))
+        far = np.minimum(far, 1 - x @ centres[-1])
     c = np.array(centres)
     for _ in range(rounds):
-        near = (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
+        near = (x @ c.T).argmax(axis=1)
         for j in range(len(c)):
-            if (near == j).any():
-                c[j] = x[near == j].mean(axis=0)
+            total = x[near == j].sum(axis=0)
+            if (length := np.sqrt(total @ total)) > 1e-9:
+                c[j] = total / length
     return c
 
 
@@ -96,7 +97,7 @@ def _split(cells: DataFrame, big: DataFrame, cell_size: int) -> DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"cell": [], "node": [], "copies": [], "embedding": [], "first": []})
         x, c, group = _unit(left["embedding"]), np.array(right["vector"].tolist()), right["group"].to_numpy()
-        own = np.sqrt(np.maximum((c * c).sum(axis=1) + 1 - 2 * (x @ c.T), 0))
+        own = np.sqrt(np.maximum(2 - 2 * (x @ c.T), 0))
         groups = np.unique(group)
         distance = np.stack([own[:, group == g].min(axis=1) for g in groups], axis=1)
         order = np.argsort(distance, axis=1)
