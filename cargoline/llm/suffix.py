@@ -135,7 +135,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
 
     runs = materialize(long_enough.mapInArrow(anchors, f"id {kind}, mark int, key bigint, context bigint, start int, count int"), "anchor-runs")
     shared = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
-    shared = shared.select("key", (F.col("least") != F.col("most")).alias("several"))
+    # written, so that both sides of the join are plain shuffles, whose hot keys Spark splits
+    shared = materialize(shared.select("key", (F.col("least") != F.col("most")).alias("several")), "shared-keys")
     rows = materialize(runs.join(shared, "key"), "shared-runs")
     kinds = materialize(rows.groupBy("key", "context").agg(
         F.count("*").alias("n"), F.first("several").alias("several"), F.min(F.struct("id", "mark", "start", "count")).alias("one")), "run-kinds")
@@ -228,7 +229,7 @@ def _by_hash(source: DataFrame, open_kinds: DataFrame, kind: str, length: int) -
 
     single = materialize(_beside(source, listed).select("id", "mark", "text", "runs").mapInArrow(
         suffixes, f"id {kind}, mark int, start int, suffix bigint"), "crowd-suffixes")
-    twice = single.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix")
+    twice = materialize(single.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix"), "crowd-repeats")
     return single.join(twice, "suffix").select("id", "mark", "start", (F.col("start") + length).alias("stop"))
 
 
