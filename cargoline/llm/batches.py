@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import cargoline
 
-#: Text that a task holds decoded at one time, in characters; a longer single text is held alone.
-CHUNK_CHARS = 8_000_000
+#: Text that a task holds decoded at one time, in bytes; a longer single text is held alone.
+CHUNK_CHARS = 4_000_000
 
 
 def ship(spark: SparkSession) -> None:
