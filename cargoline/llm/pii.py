@@ -100,8 +100,8 @@ def _characters() -> dict[int, str]:
 
 
 _TABLE = _characters()
-#: The quick sign of a character to rewrite: one beyond the Latin blocks, the middle dot, the soft hyphen.
-_ODD = re.compile("[^\x00-\xac\xae-\xb6\xb8-\u024f]")
+#: The quick sign of a character to rewrite: any that the table or the hidden ones name.
+_ODD = frozenset({*map(chr, _TABLE), *_HIDDEN})
 _INVISIBLE = re.compile(f"[{_HIDDEN}]+")
 _words = "|".join(sorted(_DIGIT_WORDS, key=len, reverse=True))
 _at, _dot = "|".join(_AT_WORDS), "|".join(_DOT_WORDS)
@@ -116,8 +116,13 @@ _DISGUISE = re.compile(
 _WORD = re.compile(_words, re.IGNORECASE)
 _BRACKETED = re.compile(rf"{_OPEN}[ \t]*(?i:{_at}|{_dot}|@|\.)[ \t]*{_CLOSE}")
 _MIXED = re.compile("[0-9][OoIl|]|[OoIl|][0-9]")
-#: Words that make a line worth rewriting; the French article "un" alone does not.
+#: Words that make a line worth rewriting, looked up between the borders that the pattern takes.
 _SIGNS = frozenset({*_DIGIT_WORDS, *_DOT_WORDS} - {"un"})
+_SIGN = re.compile(r"(?<![^\W_])(?:" + "|".join(sorted(_SIGNS, key=len, reverse=True)) + r")(?![^\W_])")
+_ONE = re.compile(r"(?<![^\W_])un(?![^\W_])")
+_PLUS = re.compile(r"(?<![^\W_])plus[ ]?(?=[0-9(]|(?:" + _words + r")(?![^\W_]))")
+#: Letters that match others where case is ignored and that lower() leaves or takes apart.
+_CASES = str.maketrans("ıİſ", "iis")
 
 
 @dataclass
@@ -160,9 +165,14 @@ def transduce(text: str, pattern: re.Pattern, value) -> Rewritten:
     return out
 
 
+def _lower(text: str) -> str:
+    """In lower case, as the patterns see it."""
+    return text.lower() if text.isascii() else text.translate(_CASES).lower()
+
+
 def _plain_form(m: re.Match) -> str:
     if m["digits"]:
-        return "".join([_DIGIT_WORDS[w.lower()] for w in _WORD.findall(m["digits"])])
+        return "".join([_DIGIT_WORDS[_lower(w)] for w in _WORD.findall(m["digits"])])
     if m["alike"]:
         return m["alike"].translate(_AS_DIGITS)
     return {"at": "@", "dot": ".", "plus": "+"}[m.lastgroup]
@@ -183,7 +193,17 @@ def disguised_spans(line: str) -> list[Span]:
 
 
 def _suspect(text: str) -> bool:
-    return bool((not text.isascii() and _ODD.search(text)) or _BRACKETED.search(text) or _MIXED.search(text) or not _SIGNS.isdisjoint(text.lower().replace("-", " ").split()))
+    """Whether rewriting the text can show an identifier: never false where ``disguised_spans`` finds one that is not plain.
+
+    The French article "un" counts where there is more that an identifier could be made of: a digit, an "@" or four of them.
+    """
+    if (not text.isascii() and not _ODD.isdisjoint(text)) or _BRACKETED.search(text) or _MIXED.search(text):
+        return True
+    lower = _lower(text)
+    if _SIGN.search(lower) or ("plus" in lower and _PLUS.search(lower)):
+        return True
+    ones = len(_ONE.findall(lower)) if "un" in lower else 0
+    return ones > 3 or (ones > 0 and ("@" in text or _DIGIT.search(text) is not None))
 
 
 def spans_of(text: str | None) -> tuple[list[Span], list[Span]]:

@@ -98,6 +98,37 @@ def test_clean_texts_and_plain_spans_stay():
     assert pii.listed(sorted(plain + more)) == "email:0:7,email:12:22" and pii.redacted(t, plain + more) == "[EMAIL] and [EMAIL]"
 
 
+@pytest.mark.parametrize("text, kind, found", [
+    ("tel +49\u00a030\u00a01234567 now", "phone", "+49\u00a030\u00a01234567"),
+    ("card 4111\u00a01111\u00a01111\u00a01111 x", "card", "4111\u00a01111\u00a01111\u00a01111"),
+    ("call plus 49 30 1234567", "phone", "plus 49 30 1234567"), ("call plus49 30 1234567", "phone", "plus49 30 1234567"),
+    ("host 192.one.168.two up", "ip", "192.one.168.two"), ("host 192.un.168.2 up", "ip", "192.un.168.2"),
+    ('"un.un.un.un"', "ip", "un.un.un.un"), ("host 192.\u017fix.168.2 up", "ip", "192.\u017fix.168.2")])
+def test_gate_lets_disguises_through(text, kind, found):
+    plain, more = pii.spans_of(text)
+    assert (plain, [(pii.KINDS[k], text[a:b]) for k, a, b in more]) == ([], [(kind, found)])
+
+
+def test_gate_changes_nothing(monkeypatch):
+    rnd = random.Random(5)
+    words = [*pii._DIGIT_WORDS, *pii._AT_WORDS, *pii._DOT_WORDS, "plus", "Plus", "UN", "un", "f\u0131ve", "\u0130", "\u017fix"]
+    odd = [chr(c) for c in rnd.sample(sorted(pii._TABLE), 40)] + list(pii._HIDDEN) + list(pii._MARKS)
+    bits = ["192", "168", "49", "30", "1234567", "4111", "1111", "a", "bob", "com", "O1", "l", "i", "@", "+", "[at]", "(dot)", "{.}"]
+    ends = [" ", " ", ".", "-", ",", "'", '"', "_", "", "\u00a0", "\n", "(", ")", "\t"]
+    identifiers = ["+49 30 1234567", "192.168.1.2", "4111 1111 1111 1111", "bob@mail.example.com", "plus 49 30 1234567"]
+    names = {str(d): [w for w, v in pii._DIGIT_WORDS.items() if v == str(d)] for d in range(10)}
+    texts = []
+    for _ in range(20000):
+        texts.append("".join(rnd.choice(rnd.choice([words, bits, bits, odd])) + rnd.choice(ends) for _ in range(rnd.randint(1, 12))))
+    for _ in range(20000):
+        told = "".join(rnd.choice(names[c]) if c in names and rnd.random() < 0.1 else "\u00a0" if c == " " and rnd.random() < 0.3 else c for c in rnd.choice(identifiers))
+        texts.append(rnd.choice(ends) + told.replace("+", rnd.choice(["+", "plus ", "plus"])) + rnd.choice(ends))
+    gated = [pii.spans_of(t) for t in texts]
+    monkeypatch.setattr(pii, "_suspect", lambda t: True)
+    free = [pii.spans_of(t) for t in texts]
+    assert [t for t, a, b in zip(texts, gated, free) if a != b] == [] and sum(bool(more) for _, more in free) > 1000
+
+
 def test_find_on_odd_rows(spark):
     texts = [*ODD, "+1 (743) 555-3824 a@b.co"]
     got = {r.doc_id: r for r in pii.find(docs(spark, texts), outputs=tuple(pii.OUTPUTS)).collect()}
