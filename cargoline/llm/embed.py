@@ -9,7 +9,8 @@ below the threshold. A part of the graph that no medoid leads to hangs on its ne
 that leave it are given as pairs, from either side, and counted once.
 
 Centres closer than twice the distance of two linked vectors make one cell. Cells that k-means can't split (a dense family) are cut into blocks, and each pair of blocks is a shard of its own, compared through
-its own graph from either side, so no task holds more than two blocks and no pair of blocks is left out.
+its own graph from either side, so no task holds more than two blocks and no pair of blocks is left out. A block against itself holds its overlap
+members too. A link to a node whose first cell is another one is given as a pair, so that it is counted once whichever side finds it.
 
 k-means is fitted on at most ``SAMPLE`` nodes of a cell; every node is indexed. ``recall`` compares at most ``AUDIT`` queries with all vectors.
 
@@ -251,11 +252,13 @@ _QUERIES = 256
 def _linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Of one shard: (0, node, smallest of its component here, copies linked here) per query and (1, node, node, -) per link that leaves it.
 
-    In a shard of two blocks the targets are the other block, links are counted from either side in shards of their own, and none leaves.
+    In a shard of two blocks the targets are the other block, and links between nodes at home in the cell are counted from either side in shards of
+    their own. Links to other nodes leave it.
     """
     pdf = pdf.sort_values(["node", "query"], ascending=[True, False]).drop_duplicates("node")
     nodes, x, copies = pdf["node"].to_numpy(), _unit(pdf["embedding"]), pdf["copies"].to_numpy()
     query, target, tiled = pdf["query"].to_numpy(), pdf["target"].to_numpy(), bool(pdf["tiled"].iloc[0])
+    home = pdf["home"].to_numpy()
     place = {v: k for k, v in enumerate(nodes.tolist())}
     lists = [[place[v] for v in found if v in place] for found in pdf["near"]]
     starts = medoids(x)
@@ -271,11 +274,12 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     if tiled:
         keep = target[b]
         a, b = a[keep], b[keep]
-        inner = np.ones(len(a), dtype=bool)
+    inner = home[b]
+    leave = np.stack([a[~inner], b[~inner]])
+    if tiled:
+        a, b = a[inner], b[inner]
     else:
-        inner = query[b]
         pairs = np.unique(np.stack([np.minimum(a[inner], b[inner]), np.maximum(a[inner], b[inner])]), axis=1)  # found from either side
-        leave = np.stack([a[~inner], b[~inner]])
         a, b = np.concatenate([pairs[0], pairs[1]]), np.concatenate([pairs[1], pairs[0]])
     count = np.zeros(len(nodes), dtype=np.int64)
     np.add.at(count, a, copies[b])
@@ -290,7 +294,7 @@ def _linked(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
         least = new
     shown = np.flatnonzero(query | (least != np.arange(len(nodes))))
     out = pd.DataFrame({"kind": 0, "a": nodes[shown], "b": nodes[least[shown]], "n": np.where(query[shown], count[shown], 0), "m": 0})
-    if not tiled and leave.shape[1]:
+    if leave.shape[1]:
         low, high = leave.min(axis=0), leave.max(axis=0)
         out = pd.concat([out, pd.DataFrame({"kind": 1, "a": nodes[low], "b": nodes[high], "n": copies[high], "m": copies[low]})])
     return out
@@ -300,23 +304,23 @@ def links(points: DataFrame, threshold: float = THRESHOLD, cell_size: int = CELL
     """Search all ``points`` (label, node, copies, embedding); rows (kind, a, b, n, m) as ``_linked`` gives them, written to the shared folder."""
     ship(points.sparkSession)
     small, dense = _cells(points, cell_size)
-    members = small.withColumn("tiled", F.lit(False)).withColumn("target", F.lit(True)).withColumnRenamed("first", "query")
+    members = small.withColumn("tiled", F.lit(False)).withColumn("target", F.lit(True)).withColumn("home", F.col("first")).withColumnRenamed("first", "query")
     if dense is not None:
         sizes = dense.groupBy("cell").agg(F.ceil(F.count("*") / (cell_size / 2)).cast("int").alias("blocks"))
         blocks = dense.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         every = F.sequence(F.lit(0), F.col("blocks") - 1)
         ask = blocks.where("first").withColumn("other", F.explode(every)).select(
-            F.concat_ws("#", "cell", "block", "other").alias("cell"), "node", "copies", "embedding", F.lit(True).alias("query"), (F.col("other") == F.col("block")).alias("target"))
-        tell = blocks.withColumn("other", F.explode(every)).where("other <> block").select(
-            F.concat_ws("#", "cell", "other", "block").alias("cell"), "node", "copies", "embedding", F.lit(False).alias("query"), F.lit(True).alias("target"))
+            F.concat_ws("#", "cell", "block", "other").alias("cell"), "node", "copies", "embedding", F.lit(True).alias("query"), (F.col("other") == F.col("block")).alias("target"), F.lit(True).alias("home"))
+        tell = blocks.withColumn("other", F.explode(every)).where("other <> block OR NOT first").select(
+            F.concat_ws("#", "cell", "other", "block").alias("cell"), "node", "copies", "embedding", F.lit(False).alias("query"), F.lit(True).alias("target"), F.col("first").alias("home"))
         members = members.unionByName(ask.unionByName(tell).withColumn("tiled", F.lit(True)))
-    members = materialize(members.select("cell", "node", "copies", "embedding", "query", "target", "tiled"), "shards")
+    members = materialize(members.select("cell", "node", "copies", "embedding", "query", "target", "home", "tiled"), "shards")
     lists = members.groupBy("cell").applyInPandas(lambda pdf: _graph(pdf), "node bigint, near array<bigint>")
     united = materialize(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     inside = members.join(united, "node")
     reach = members.where("query AND NOT tiled").select("cell", "node").join(united, "node").select("cell", F.explode("near").alias("node")).distinct()
     halo = reach.join(members.select("cell", "node"), ["cell", "node"], "left_anti").join(points.select("node", "copies", "embedding"), "node").join(united, "node").select(
-        "cell", "node", "copies", "embedding", F.lit(False).alias("query"), F.lit(True).alias("target"), F.lit(False).alias("tiled"), "near")
+        "cell", "node", "copies", "embedding", F.lit(False).alias("query"), F.lit(True).alias("target"), F.lit(False).alias("home"), F.lit(False).alias("tiled"), "near")
     return materialize(inside.unionByName(halo).groupBy("cell").applyInPandas(
         lambda pdf: _linked(pdf, threshold), "kind int, a bigint, b bigint, n bigint, m bigint"), "links")
 

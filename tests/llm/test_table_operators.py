@@ -206,6 +206,26 @@ def test_embeddings(spark, cell_size):
     assert embed.recall(table, result) >= 0.9
 
 
+def test_dense_cell_with_overlap(spark, monkeypatch):
+    """A dense family that shares nodes with a small cell: every link is counted once at both ends, also within one block."""
+    rnd = np.random.default_rng(2)
+    base = rnd.normal(size=16)
+    rows = [(k, (base + rnd.normal(size=16) * (0.03 if k < 60 else 0.14)).astype(np.float32).tolist(), 1) for k in range(80)]
+
+    def cells(points, cell_size):
+        def named(cell, where, first):
+            return points.where(where).select(F.lit(cell).alias("cell"), "node", "copies", "embedding", F.lit(first).alias("first"))
+
+        return (named("1:16/1", "node >= 60", True).unionByName(named("1:16/1", "node BETWEEN 50 AND 59", False)),
+                named("1:16/0", "node < 60", True).unionByName(named("1:16/0", "node >= 60", False)))
+
+    monkeypatch.setattr(embed, "_cells", cells)
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(table, cell_size=24).collect()}
+    want = linked(rows)
+    assert got == want and len({n for n, _ in want.values()}) > 5
+
+
 def test_embeddings_without_rows_or_ids(spark):
     table = spark.createDataFrame([(None, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (4, [1.0, 0.0], 1)], "vec_id bigint, embedding array<float>, label int")
     got = embed.near_duplicates(table).collect()
