@@ -146,3 +146,66 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cargoline.llm import suffix
 
     return suffix.remove(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB: CRC-32 from its polynomial; ``crc_table`` has the values of single bytes, ``crc({})`` is that of a text's UTF-8 bytes.
+CRC_TABLE_SQL = """bits AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    places = f"list_transform(range(1, strlen({text}) * 2, 2), lambda i: ('0x' || substr(hex({text}), i, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {places}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+@query("op11_spelling", sql=rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id::VARCHAR || ':' || run AS k, run, count(*) AS m FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, m, {crc_sql('k')} AS h FROM counted, crc_table),
+words AS (SELECT word, sum(m)::BIGINT AS n FROM (SELECT m, CASE WHEN h % 31 = 0 THEN left(run, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+cuts AS (SELECT word, n, length(word) AS l, i, left(word, i) || substr(word, i + 2) AS cut FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+         UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+         UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, min((-m, other)) AS s FROM near GROUP BY word),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -s[1] >= 10 * n THEN s[2] END AS form, CASE WHEN -s[1] >= 10 * n THEN -s[1] END AS form_n FROM words w LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS root, 0 AS step FROM forms UNION ALL SELECT c.word, f.form, step + 1 FROM chain c JOIN forms f ON c.root = f.word WHERE f.form IS NOT NULL),
+roots AS (SELECT word, max((step, root))[2] AS root FROM chain GROUP BY word)
+SELECT word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM forms JOIN roots USING (word)""")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_html")
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import html
+
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op13_prefixes", sql=rf"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+own AS (SELECT conv_id AS c, list(r ORDER BY turn NULLS FIRST, r) AS turns
+        FROM (SELECT conv_id, turn, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS r FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+ids AS (SELECT c, c::VARCHAR AS k, turns FROM own),
+hashed AS (SELECT c, turns, {crc_sql('k')} % 4 AS h FROM ids, crc_table),
+rebuilt AS (SELECT o.c, list_concat(coalesce(s.turns, [])[1:h], o.turns[h + 1:]) AS seq FROM hashed o LEFT JOIN own s ON s.c = o.c - ((o.c % 20) + 20) % 20),
+rows AS (SELECT c, len(seq) AS l, d, seq[1:d] AS prefix FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, list(c ORDER BY c) FILTER (l = d) AS ends FROM rows GROUP BY d, prefix),
+costs AS (SELECT *, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(prefix[d].text, '[ 	-]+'), lambda w: w <> '')) END AS cost FROM nodes),
+kids AS (SELECT prefix[1:d - 1] AS up, d - 1 AS ud, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT c.*, coalesce(n_children, 0) AS n_children FROM costs c LEFT JOIN kids k ON k.ud = c.d AND k.up = c.prefix),
+above AS (SELECT unnest(range(d + 1)) AS ud, prefix, cost, n_children FROM full_nodes),
+below AS (SELECT ud, prefix[1:ud] AS up, sum(cost) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves FROM above GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children, b.n_leaves::BIGINT AS n_leaves,
+       b.saved_tokens::BIGINT AS saved_tokens, sha256(array_to_string(coalesce(n.ends, []), ',')) AS ends_sha256
+FROM full_nodes n JOIN below b ON b.ud = n.d AND b.up = n.prefix LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]""")
+def op13_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cargoline.llm import prefixes
+
+    return prefixes.trie(table(spark, sf_dir, "conversations"))
