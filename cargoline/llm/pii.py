@@ -58,7 +58,7 @@ def plain_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return found
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (q.lstrip("0") for q in m[0].split("."))):
             found.append((1, *m.span()))
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16:
@@ -109,9 +109,10 @@ _LABEL = r"[A-Za-z0-9][A-Za-z0-9-]*"
 #: A bare "at" counts only where a bare or bracketed "dot" follows its next word; a bare "dot" stands between words or digits.
 _DISGUISE = re.compile(
     rf"(?P<digits>(?<![^\W_])(?:{_words})(?:[ -](?:{_words}))*(?![^\W_]))"
-    rf"|(?P<at>[ \t]*{_OPEN}[ \t]*(?:{_at}|@)[ \t]*{_CLOSE}[ \t]*|[ \t]+(?:{_at})[ \t]+(?={_LABEL}(?:\.{_LABEL})*[ \t]*(?:[ \t](?:{_dot})[ \t]|{_OPEN}[ \t]*(?:{_dot}|\.)[ \t]*{_CLOSE})))"
-    rf"|(?P<dot>[ \t]*{_OPEN}[ \t]*(?:{_dot}|\.)[ \t]*{_CLOSE}[ \t]*|[ \t]+(?:{_dot})[ \t]+)"
-    r"|(?P<alike>(?<![^\W_])(?:[0-9]+[OoIl|][0-9OoIl|]*|[OoIl|]+[0-9][0-9OoIl|]*)(?![^\W_]))"
+    rf"|(?P<at>(?:(?<![ \t])[ \t]++)?+{_OPEN}[ \t]*(?:{_at}|@)[ \t]*{_CLOSE}[ \t]*|(?<![ \t])[ \t]++(?:{_at})[ \t]+(?={_LABEL}(?:\.{_LABEL})*[ \t]*(?:[ \t](?:{_dot})[ \t]|{_OPEN}[ \t]*(?:{_dot}|\.)[ \t]*{_CLOSE})))"
+    rf"|(?P<dot>(?:(?<![ \t])[ \t]++)?+{_OPEN}[ \t]*(?:{_dot}|\.)[ \t]*{_CLOSE}[ \t]*|(?<![ \t])[ \t]++(?:{_dot})[ \t]+)"
+    # a run of letters like digits is tried from its head only
+    r"|(?P<alike>(?<![^\W_])(?:[0-9]+[OoIl|][0-9OoIl|]*|(?<![OoIl|])[OoIl|]+[0-9][0-9OoIl|]*)(?![^\W_]))"
     r"|(?P<plus>(?<![^\W_])plus[ ]?(?=[0-9(]|(?:" + _words + r")(?![^\W_])))", re.IGNORECASE)
 _WORD = re.compile(_words, re.IGNORECASE)
 _BRACKETED = re.compile(rf"{_OPEN}[ \t]*(?i:{_at}|{_dot}|@|\.)[ \t]*{_CLOSE}")
