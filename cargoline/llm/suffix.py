@@ -99,9 +99,9 @@ def _filtered_scans(spark):
 
 
 def _source(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, a short hash that tells texts of one id apart, and the text."""
+    """id, a 64-bit hash of id and text (equal texts of different ids have different ones), and the text."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.hash(t).alias("mark"), t.alias("text"))
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{id_col}`"), t).alias("mark"), t.alias("text"))
 
 
 def _beside(source: DataFrame, table: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
             yield pa.RecordBatch.from_arrays([batch.column("id").take(of), batch.column("mark").take(of), pa.array(key.view(np.int64)), pa.array(context.view(np.int64)),
                                               pa.array(start.astype(np.int32)), pa.array(count.astype(np.int32))], names=["id", "mark", "key", "context", "start", "count"])
 
-    runs = materialize(long_enough.mapInArrow(anchors, f"id {kind}, mark int, key bigint, context bigint, start int, count int"), "anchor-runs")
+    runs = materialize(long_enough.mapInArrow(anchors, f"id {kind}, mark bigint, key bigint, context bigint, start int, count int"), "anchor-runs")
     shared = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("context").alias("least"), F.max("context").alias("most")).where("n > 1")
     # written, so that both sides of the join are plain shuffles, whose hot keys Spark splits
     shared = materialize(shared.select("key", (F.col("least") != F.col("most")).alias("several")), "shared-keys")
@@ -170,7 +170,7 @@ def _by_digits(source: DataFrame, open_kinds: DataFrame, kind: str, length: int)
                     for name, value in (("id", row["id"]), ("mark", row["mark"]), ("key", r["key"]), ("start", r["start"]), ("count", r["count"]),
                                         ("bytes", data[r["start"] : r["start"] + r["count"] - 1 + length])):
                         out[name].append(value)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", batch.schema.field("id").type), ("mark", pa.int32()), ("key", pa.int64()), ("start", pa.int32()),
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("id", batch.schema.field("id").type), ("mark", pa.int64()), ("key", pa.int64()), ("start", pa.int32()),
                                                                     ("count", pa.int32()), ("bytes", pa.binary())]))
 
     def order(batches):
@@ -208,8 +208,8 @@ def _by_digits(source: DataFrame, open_kinds: DataFrame, kind: str, length: int)
         if held:
             yield settle(held)
 
-    pieces = _beside(source, listed).select("id", "mark", "text", "runs").mapInArrow(cut, f"id {kind}, mark int, key bigint, start int, count int, bytes binary")
-    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark int, start int, stop int")
+    pieces = _beside(source, listed).select("id", "mark", "text", "runs").mapInArrow(cut, f"id {kind}, mark bigint, key bigint, start int, count int, bytes binary")
+    return pieces.repartition("key").sortWithinPartitions("key").mapInArrow(order, f"id {kind}, mark bigint, start int, stop int")
 
 
 def _by_hash(source: DataFrame, open_kinds: DataFrame, kind: str, length: int) -> DataFrame:
@@ -223,12 +223,12 @@ def _by_hash(source: DataFrame, open_kinds: DataFrame, kind: str, length: int) -
                 for r in row["runs"]:
                     grams = Rolling(data[r["start"] : r["start"] + r["count"] - 1 + length]).grams(length)
                     n = len(grams)
-                    yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * n, batch.schema.field("id").type), pa.array([row["mark"]] * n, pa.int32()),
+                    yield pa.RecordBatch.from_arrays([pa.array([row["id"]] * n, batch.schema.field("id").type), pa.array([row["mark"]] * n, pa.int64()),
                                                       pa.array(np.arange(r["start"], r["start"] + n, dtype=np.int32)), pa.array(grams.view(np.int64))],
                                                      names=["id", "mark", "start", "suffix"])
 
     single = materialize(_beside(source, listed).select("id", "mark", "text", "runs").mapInArrow(
-        suffixes, f"id {kind}, mark int, start int, suffix bigint"), "crowd-suffixes")
+        suffixes, f"id {kind}, mark bigint, start int, suffix bigint"), "crowd-suffixes")
     twice = materialize(single.groupBy("suffix").agg(F.count("*").alias("n")).where("n > 1").select("suffix"), "crowd-repeats")
     return single.join(twice, "suffix").select("id", "mark", "start", (F.col("start") + length).alias("stop"))
 
@@ -262,7 +262,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length:
 
     with _filtered_scans(spark):
         changed = materialize(_beside(source, found).select("id", "mark", "text", "spans").mapInArrow(
-            cut, f"i {kind}, m int, n_removed bigint, n_spans bigint, kept string"), "changed")
+            cut, f"i {kind}, m bigint, n_removed bigint, n_spans bigint, kept string"), "changed")
     rows = source.select("id", "mark", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("whole"))
     joined = rows.join(changed, rows["id"].eqNullSafe(changed["i"]) & (rows["mark"] == changed["m"]), "left")
     return joined.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("bigint").alias("n_removed"),

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -129,6 +130,25 @@ def test_gate_changes_nothing(monkeypatch):
     assert [t for t, a, b in zip(texts, gated, free) if a != b] == [] and sum(bool(more) for _, more in free) > 1000
 
 
+@pytest.mark.parametrize("run", [" ", "\t", "|", "l", "0", "1", ".", "1.", "(", "[ ", "+", "@", "a@", "o|", "one ", " at ", "dot ", "( at"])
+def test_long_runs_take_linear_time(run):
+    began = time.time()
+    pii.spans_of("one " + run * (300_000 // len(run)) + " one a at b dot c")
+    assert time.time() - began < 5
+
+
+def test_long_digit_parts_are_no_addresses():
+    zeros = "0" * 5_000
+    assert pii.spans_of(f"1.2.3.{zeros}1")[0] == [(1, 0, 5007)]
+    assert pii.spans_of(f"1.2.3.{zeros}256 1.2.3.{'9' * 5_000} 9.9.9.0")[0][-1][0] == 1
+    assert len(pii.spans_of(f"1.2.3.{zeros}256 1.2.3.{'9' * 5_000} 9.9.9.0")[0]) == 1
+
+
+def test_brackets_after_consumed_blanks():
+    assert pii.spans_of("john (at)  (dot) [dot] one")[1] == pii.spans_of("john (at) (dot) [dot] one")[1]
+    assert pii.listed(pii.spans_of("jo [at] ex  (dot) com")[1]) == "email:0:21"
+
+
 def test_find_on_odd_rows(spark):
     texts = [*ODD, "+1 (743) 555-3824 a@b.co"]
     got = {r.doc_id: r for r in pii.find(docs(spark, texts), outputs=tuple(pii.OUTPUTS)).collect()}
