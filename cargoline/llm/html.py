@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cargoline.llm.batches import add_columns
+from cargoline.llm.batches import add_columns, chunks
 from cargoline.operators.joins import hottest, join_hot
 from cargoline.session import materialize
 
@@ -250,12 +250,7 @@ def _outside(n: int, runs: list[tuple[int, int]]) -> list[bool]:
 
 def left(page: Page, templates: set[int]) -> list[str]:
     """The blocks of the main text when the subtrees in ``templates`` are deleted."""
-    n = len(page.blocks)
-    stays = _outside(n, [*page.chrome, *((lo, hi) for digest, lo, hi, free in page.elements if free and digest in templates)])
-    beside = _outside(n, page.regions)
-    rest = [block for block, stay in zip(page.blocks, stays) if stay]
-    main = [block for block, stay, out in zip(page.blocks, stays, beside) if stay and not out]
-    return main or rest
+    return [block for block, is_main in zip(page.blocks, _main(page, templates)) if is_main]
 
 
 def host(url: Column) -> Column:
@@ -269,16 +264,39 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("page host", host(F.col("url"))).withColumn("page key", F.xxhash64("page host", "html"))
 
 
+def _main(page: Page, templates: set[int]) -> list[bool]:
+    """For each block, whether it is main text when the subtrees in ``templates`` are deleted."""
+    n = len(page.blocks)
+    stays = _outside(n, [*page.chrome, *((lo, hi) for digest, lo, hi, free in page.elements if free and digest in templates)])
+    inside = [stay and not out for stay, out in zip(stays, _outside(n, page.regions))]
+    return inside if any(inside) else stays
+
+
+def weighed(page: Page) -> dict[int, bool]:
+    """The subtrees that count, and whether the page's main text would lose a block with them. Text outside an article is main text
+    only if the article has none left, so as long as no subtree takes a block from the article, none changes the page."""
+    total = [0]
+    for is_main in _main(page, set()):
+        total.append(total[-1] + is_main)
+    out: dict[int, bool] = {}
+    for digest, lo, hi, free in page.elements:
+        if free:
+            out[digest] = out.get(digest, False) or total[hi] > total[lo]
+    return out
+
+
 def subtrees(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(page key, subtree, copies): the subtrees that may be deleted by count, each once for a page of a host; ``subtree`` names host and hash."""
+    """(page key, subtree, matters, copies): the subtrees that may be deleted by count, each once for a page of a host; ``subtree`` names host and hash,
+    ``matters`` tells whether the page has main text in it, ``copies`` how many rows the page has."""
     rows = _keyed(pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html")))
 
     def run(column: pa.Array) -> dict[str, pa.Array]:
-        return {"found": pa.array([list({e[0] for e in parse(p).elements if e[3]}) for p in column.to_pylist()], type=pa.list_(pa.int64()))}
+        found = [[{"hash": h, "matters": m} for h, m in weighed(parse(p)).items()] for p in column.to_pylist()]
+        return {"found": pa.array(found, type=pa.list_(pa.struct([("hash", pa.int64()), ("matters", pa.bool_())])))}
 
-    found = add_columns(rows, "html", run, {"found": "array<bigint>"})
-    each = found.select("page key", "page host", F.explode("found").alias("hash")).select("page key", F.xxhash64("page host", "hash").alias("subtree"))
-    return each.groupBy("page key", "subtree").agg(F.count("*").alias("copies"))
+    found = add_columns(rows, "html", run, {"found": "array<struct<hash:bigint,matters:boolean>>"})
+    each = found.select("page key", "page host", F.inline("found")).select("page key", F.xxhash64("page host").bitwiseXOR(F.col("hash")).alias("subtree"), "matters")
+    return each.groupBy("page key", "subtree").agg(F.max("matters").alias("matters"), F.count("*").alias("copies"))
 
 
 def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -287,54 +305,42 @@ def templates(found: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
 
 
 def extract(pages: DataFrame, url: str = "url", page: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``pages`` without the html, with ``text`` (the blocks of the main text, joined by two line feeds) and ``n_chars`` (its code points)."""
+    """``pages`` without the html, with ``text`` (the blocks of the main text, joined by two line feeds) and ``n_chars`` (its code points).
+
+    Only pages that have main text in a subtree that counts are joined with their host's templates and so shuffled; the others' templates
+    lie wholly in what their tags delete or outside their article, so those pages are read where they are.
+    """
     found = materialize(subtrees(pages, url, page), "subtrees")
     common = materialize(templates(found, least_pages), "templates")
-    deleted = join_hot(found.select("page key", "subtree", "copies"), common, ["subtree"], hottest(common, ["subtree"], "pages"), F.col("page key"), how="inner")
-    deleted = materialize(deleted.groupBy("page key").agg(F.collect_set("subtree").alias("page templates"), F.max("copies").alias("copies")), "deleted")
+    exposed = found.where("matters")
+    deleted = join_hot(exposed, common, ["subtree"], hottest(common, ["subtree"], "pages"), F.col("page key"), how="left")
+    listed = F.collect_set(F.when(F.col("pages").isNotNull(), F.col("subtree")))
+    exposed = materialize(deleted.groupBy("page key").agg(listed.alias("page templates"), F.max("copies").alias("copies")), "exposed")
 
     kept = [c for c in pages.columns if c not in (page, "text", "n_chars")]
     aside = {c: f"own {c}" for c in kept}
-    rows = pages.select(*[F.col(f"`{c}`").alias(aside[c]) for c in kept], F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html"))
-    rows = _keyed(rows)
+    rows = _keyed(pages.select(*[F.col(f"`{c}`").alias(aside[c]) for c in kept], F.col(f"`{url}`").alias("url"), F.col(f"`{page}`").alias("html")))
 
-    def blocks(column: pa.Array) -> dict[str, pa.Array]:
-        texts, runs = [], []
+    def in_place(column: pa.Array) -> dict[str, pa.Array]:
+        out = []
         for p in column.to_pylist():
             read = parse(p)
-            # what chrome covers goes in any case, so its text need not travel
-            texts.append([b if k else "" for b, k in zip(read.blocks, _outside(len(read.blocks), read.chrome))])
-            runs.append([{"hash": d, "lo": lo, "hi": hi, "kind": 0} for d, lo, hi, free in read.elements if free]
-                        + [{"hash": 0, "lo": lo, "hi": hi, "kind": 1} for lo, hi in read.chrome] + [{"hash": 0, "lo": lo, "hi": hi, "kind": 2} for lo, hi in read.regions])
-        kind = pa.list_(pa.struct([("hash", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("kind", pa.int32())]))
-        return {"blocks": pa.array(texts, type=pa.list_(pa.string())), "runs": pa.array(runs, type=kind)}
-
-    read = add_columns(rows, "html", blocks, {"blocks": "array<string>", "runs": "array<struct<hash:bigint,lo:int,hi:int,kind:int>>"})
-    read = read.drop("html", "url")
-    many = hottest(deleted, ["page key"], "copies")
-    joined = join_hot(read, deleted.select("page key", "page templates"), ["page key"], many, F.monotonically_increasing_id())
-    hashed = F.transform("runs", lambda r: F.struct(F.xxhash64("page host", r["hash"]).alias("subtree"), r["lo"].alias("lo"), r["hi"].alias("hi"), r["kind"].alias("kind")))
-    joined = joined.withColumn("runs", hashed)
-    listed = F.coalesce("page templates", F.array().cast("array<bigint>"))
-    gone = F.filter("runs", lambda r: (r["kind"] == 1) | ((r["kind"] == 0) & F.array_contains(listed, r["subtree"])))
-    return _text(joined.withColumn("gone", gone).withColumn("regions", F.filter("runs", lambda r: r["kind"] == 2)), kept, aside)
-
-
-def _text(rows: DataFrame, kept: list[str], aside: dict[str, str]) -> DataFrame:
-    def run(column: pa.Array) -> dict[str, pa.Array]:
-        out = []
-        for row in column.to_pylist():
-            page = Page(row["blocks"], [], [(r["lo"], r["hi"]) for r in row["gone"]], [(r["lo"], r["hi"]) for r in row["regions"]])
-            out.append("\n\n".join(left(page, set())))
+            out.append(None if any(weighed(read).values()) else "\n\n".join(left(read, set())))
         return {"text": pa.array(out, type=pa.string())}
 
-    packed = rows.select(*[F.col(f"`{aside[c]}`") for c in kept], F.struct("blocks", "gone", "regions").alias("page"))
-
-    def batches(parts):
-        for part in parts:
-            new = run(part.column("page"))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], new["text"]], names=[*part.schema.names[:-1], "text"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in packed.schema.fields[:-1])
-    out = packed.mapInArrow(batches, f"{fields}, text string")
-    return out.select(*[F.col(f"`{aside[c]}`").alias(c) for c in kept], "text", F.char_length("text").cast("bigint").alias("n_chars"))
+    def joined(batches):
+        for batch in chunks(batches, "html"):
+            out = []
+            for p, common in zip(batch.column("html").to_pylist(), batch.column("common").to_pylist()):
+                out.append("\n\n".join(left(parse(p), set(common))))
+            yield pa.RecordBatch.from_arrays([*(batch.column(aside[c]) for c in kept), pa.array(out, type=pa.string())], names=[*(aside[c] for c in kept), "text"])
+
+    own = [F.col(f"`{aside[c]}`") for c in kept]
+    settled = add_columns(rows, "html", in_place, {"text": "string"}).where("text IS NOT NULL").select(*own, "text")
+    many = hottest(exposed, ["page key"], "copies")
+    met = join_hot(rows, exposed.select("page key", "page templates"), ["page key"], many, F.monotonically_increasing_id(), how="inner")
+    hashes = F.transform("page templates", lambda x: x.bitwiseXOR(F.xxhash64("page host")))
+    met = met.select(*own, "html", hashes.alias("common"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema)
+    met = met.mapInArrow(joined, f"{fields}, text string" if kept else "text string")
+    return settled.unionByName(met).select(*[F.col(f"`{aside[c]}`").alias(c) for c in kept], "text", F.char_length("text").cast("bigint").alias("n_chars"))
