@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cargoline import constants as K
 from cargoline.functions import labels, text
+from cargoline.operators import nearest
 from cargoline.operators.joins import number_sorted
 from cargoline.session import materialize
 
@@ -160,34 +161,18 @@ def synthetic_rows(dictionary: DataFrame, mapping: DataFrame | None = None, min_
 
 
 def above_all(vectors: DataFrame, block: str, min_cosine: float = 0.85) -> DataFrame:
-    """Drop near duplicates: a row goes when a row of the same block is closer than ``min_cosine`` and more confident
-    (lower id on ties). Expects ``vec_id, confidence, embedding`` (unit length) and ``block``.
+    """Drop near duplicates: a row goes when a row of the same block has a cosine above ``min_cosine`` with it and is more confident
+    (lower id on ties). Expects ``vec_id, confidence, embedding`` and ``block``.
 
-    Two unit vectors with cosine above c lie within sqrt(2 - 2c), so do their projections on any unit direction. Rows
-    are put into cells of that width along two fixed directions and looked up in the neighbouring cells: exact, and
-    only rows that can be neighbours meet. Exact copies fold into one row before that.
+    Equal vectors fold into the strongest row first; the rest meet by pivots and rings (see ``nearest``). A vector without direction is
+    near nothing and stays.
     """
-    width = (2 - 2 * min_cosine) ** 0.5
-    dims = F.size("embedding")
-    # two orthogonal unit directions: the sum of the even and of the odd coordinates
-    half = F.sqrt(F.ceil(dims / 2).cast("double"))
-
-    def along(parity: int) -> Column:
-        picked = F.filter("embedding", lambda x, i: i % 2 == parity)
-        total = F.aggregate(picked, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-        return F.floor(total / half / width).cast("int")
-
     strength = F.struct(F.col("confidence").alias("confidence"), (-F.col("vec_id")).alias("neg_id"))
-    unique = vectors.groupBy(block, "embedding").agg(F.max(strength).alias("strength"))
-    unique = unique.withColumn("cx", along(0)).withColumn("cy", along(1))
-    around = F.explode(F.array(*[F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"))
-                                 for dx in (-1, 0, 1) for dy in (-1, 0, 1)])).alias("cell")
-    stronger = unique.select(block, around, F.col("embedding").alias("other"), F.col("strength").alias("other_strength"))
-    stronger = stronger.select(block, "cell.cx", "cell.cy", "other", "other_strength")
-    cosine = F.aggregate(F.zip_with("embedding", "other", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0),
-                         lambda acc, x: acc + x)
-    weaker = unique.join(stronger, [block, "cx", "cy"]).where(
-        (F.col("other_strength") > F.col("strength")) & (cosine > min_cosine))
-    lost = weaker.select(block, "strength").distinct()
-    kept = unique.join(lost, [block, "strength"], "left_anti")
+    rows = vectors.select(block, nearest.unit(F.col("embedding")).alias("v"), strength.alias("strength"))
+    unique = materialize(rows.where("v IS NOT NULL").groupBy(block, "v").agg(F.max("strength").alias("strength")), "strongest")
+    placed = nearest.placed(unique, "v", nearest.choose_pivots(unique, "v"), [block, "strength"])
+    met = nearest.meeting(placed, placed, [block], (2 - 2 * min_cosine) ** 0.5)
+    weaker = met.where((F.col("e_strength") > F.col("q_strength")) & (nearest.dot(F.col("q_v"), F.col("e_v")) > min_cosine))
+    lost = weaker.select(block, F.col("q_strength").alias("strength")).distinct()
+    kept = unique.select(block, "strength").join(lost, [block, "strength"], "left_anti").unionByName(rows.where("v IS NULL").select(block, "strength"))
     return kept.select(block, (-F.col("strength.neg_id")).alias("vec_id"), F.col("strength.confidence").alias("confidence"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cargoline import constants as K
 from cargoline.functions import labels
-from cargoline.operators import classifier, knowledge, match
+from cargoline.operators import classifier, knowledge, match, nearest
 from cargoline.operators import dictionary as D
 from cargoline.operators import evaluate as E
 from cargoline.plans import cascade, views
@@ -112,15 +112,47 @@ def hash_split(spark, sf_dir):
     return classifier.split_rows(docs, "doc_id")
 
 
-@query("semantic_dedup", (), """WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e,
-    round((vec_id * 37 % 101) / 100.0, 2)::DOUBLE AS confidence FROM embeddings)
+#: Unit vectors in double precision.
+_UNIT = """SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS e FROM embeddings"""
+
+
+@query("semantic_dedup", (), f"""WITH v AS (SELECT *, round((vec_id * 37 % 101) / 100.0, 2)::DOUBLE AS confidence FROM ({_UNIT}))
 SELECT vec_id, label, confidence FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.label = a.label AND
   (b.confidence > a.confidence OR (b.confidence = a.confidence AND b.vec_id < a.vec_id))
-  AND list_dot_product(a.e, b.e) > 0.4)""")
+  AND list_dot_product(a.e, b.e) > 0.85)""")
 def semantic_dedup(spark, sf_dir):
     v = views.table(spark, sf_dir, "embeddings").withColumn(
         "confidence", F.round((F.col("vec_id") * 37 % 101) / 100.0, 2))
-    return classifier.above_all(v, "label", min_cosine=0.4)
+    return classifier.above_all(v, "label")
+
+
+@query("match_semantic", (), f"""WITH v AS ({_UNIT}), entries AS (SELECT min(vec_id) AS entry_id, e FROM v WHERE vec_id IN (SELECT min(vec_id) FROM v GROUP BY label) GROUP BY e),
+found AS (SELECT a.vec_id AS row_id, min((-list_dot_product(a.e, b.e), b.entry_id)) AS s FROM v a JOIN entries b ON list_dot_product(a.e, b.e) >= 0.55 GROUP BY 1)
+SELECT v.vec_id AS row_id, s[2] AS entry_id, round(-s[1], 6) AS cosine FROM v LEFT JOIN found ON row_id = vec_id""")
+def match_semantic(spark, sf_dir):
+    """Every vector against one entry per class; a row without an entry at 0.55 stays open."""
+    rows = views.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), "embedding", "label")
+    entries = rows.groupBy("label").agg(F.min_by(F.struct("row_id", "embedding"), "row_id").alias("s")).select(F.col("s.row_id").alias("entry_id"), "s.embedding")
+    found = nearest.nearest(rows, entries, 0.55)
+    return rows.select("row_id").join(found, "row_id", "left").select("row_id", "entry_id", F.round("cosine", 6).alias("cosine"))
+
+
+def _clusters_sql(min_cosine, min_samples):
+    return f"""WITH RECURSIVE v AS ({_UNIT}),
+near AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON list_dot_product(a.e, b.e) >= {min_cosine} OR a.e = b.e),
+density AS (SELECT i, count(*) AS n_near, count(*) >= {min_samples} AS core FROM near GROUP BY i),
+links AS (SELECT i, j FROM near WHERE i IN (SELECT i FROM density WHERE core) AND j IN (SELECT i FROM density WHERE core)),
+reach AS (SELECT i, i AS r FROM density WHERE core UNION SELECT reach.i, links.j FROM reach JOIN links ON reach.r = links.i),
+named AS (SELECT i, min(r) AS cluster FROM reach GROUP BY i),
+edge AS (SELECT n.i, min(n.j) AS c FROM near n JOIN named ON named.i = n.j GROUP BY n.i)
+SELECT d.i AS vec_id, n_near, core, coalesce(named.cluster, e.cluster) AS cluster FROM density d LEFT JOIN named USING (i)
+LEFT JOIN (SELECT edge.i, named.cluster FROM edge JOIN named ON named.i = edge.c) e USING (i)"""
+
+
+@query("cluster_descriptions", (), _clusters_sql(0.35, 5))
+def cluster_descriptions(spark, sf_dir):
+    """Density clusters of all vectors: cosine distance 0.65, five neighbours."""
+    return nearest.density_clusters(views.table(spark, sf_dir, "embeddings"), min_cosine=0.35, min_samples=5)
 
 
 def _synthetic(spark, sf_dir):
