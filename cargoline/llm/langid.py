@@ -14,12 +14,12 @@ alone, every text with letters gets it with score 1. Rows are independent of eac
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cargoline.llm.batches import add_columns, chunks, ship
@@ -28,7 +28,7 @@ BUCKET_BITS = 16
 #: Characters whose n-grams are weighed at one time.
 _BLOCK = 500_000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def codewords(n: int, seed: int = 7) -> np.ndarray:

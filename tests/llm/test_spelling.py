@@ -105,3 +105,10 @@ def test_near_words_always_share_a_signature():
         v = w[:at] + rng.choice(["", rng.choice("abcé"), w[at] + rng.choice("abcé")]) + w[at + 1 :]
         if v != w:
             assert {k for _, k in spelling.signatures(w)} & {k for _, k in spelling.signatures(v)}
+
+
+def test_letters_of_the_language_operator():
+    """A superscript, a fraction or a Roman numeral sign is no letter."""
+    from cargoline.llm import langid
+
+    assert not any(langid._LETTER.search(t) for t in ("²", "½", "Ⅷ", "12_3", "")) and all(langid._LETTER.search(t) for t in ("a", "é", "ж", "語"))
