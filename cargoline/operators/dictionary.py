@@ -267,6 +267,22 @@ def heading_list(dictionary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return headings.groupBy(*by).agg(F.concat_ws(",", F.array_sort(F.collect_list("heading"))).alias("headings"))
 
 
+def route(uploads: DataFrame, dictionaries: DataFrame, active: str | None = None) -> DataFrame:
+    """The dictionary for each upload: the one that shares most 4-digit headings with it (ties: more entries, then the smaller id), or ``active``
+    where none shares any. ``uploads`` has ``upload`` and ``hs_code``, ``dictionaries`` ``dictionary_id``, ``size`` and its comma-joined ``headings``
+    (see ``heading_list``).
+
+    Headings fold to one row per upload before they meet, so an upload of any size asks with its few distinct headings.
+    """
+    asked = uploads.select("upload", codes.hs_heading(F.col("hs_code")).alias("heading")).distinct()
+    listed = dictionaries.select("dictionary_id", "size", F.explode(F.split("headings", ",")).alias("heading")).select(
+        "dictionary_id", "size", F.trim("heading").alias("heading")).where("heading <> ''").distinct()
+    shared = asked.join(listed, "heading").groupBy("upload", "dictionary_id", "size").agg(F.count("*").alias("overlap"))
+    best = shared.groupBy("upload").agg(F.min(F.struct((-F.col("overlap")).alias("o"), (-F.col("size")).alias("s"), "dictionary_id")).alias("b"))
+    return asked.select("upload").distinct().join(best, "upload", "left").select(
+        "upload", F.coalesce("b.dictionary_id", F.lit(active)).alias("dictionary_id"), F.coalesce(-F.col("b.o"), F.lit(0)).alias("overlap"))
+
+
 def union_by_priority(frames: Sequence[DataFrame], key: str) -> DataFrame:
     """Union of labelled texts where an earlier frame wins over a later one with the same ``key``, then lower row order.
 

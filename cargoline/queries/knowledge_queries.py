@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
-from cargoline.functions import codes
+from cargoline.functions import codes, text
 from cargoline.operators import dictionary as D
 from cargoline.operators import knowledge, standardize, taxonomy
 from cargoline.plans import shared, views
@@ -234,9 +234,40 @@ def dict_active_owners(spark, sf_dir):
     return merge_active(reduce(lambda a, b: a.unionByName(b), tagged), owned, users).select("keyword", "hs_code", "priority", "class1", "class2")
 
 
-@query("hs_preclassify", ("prefix_match", "dictionary_b"), """SELECT code, n_rows, CASE WHEN n > 10 THEN product_line END AS product_line, CASE WHEN n > 10 THEN default_type END AS kind
+@query("hs_preclassify", ("prefix_match", "dictionary_b"), """SELECT code, n_rows, CASE WHEN n > 100 THEN product_line END AS product_line, CASE WHEN n > 100 THEN default_type END AS kind
 FROM (SELECT p.code, any_value(p.n_rows) AS n_rows, any_value(p.product_line) AS product_line, any_value(p.default_type) AS default_type, max(d.n_products) AS n
       FROM prefix_match p LEFT JOIN dictionary_b d ON starts_with(regexp_replace(d.hs_code, '\\D', '', 'g'), p.hs_code_prefix) GROUP BY p.code) t""")
 def hs_preclassify(spark, sf_dir):
-    """Line and kind from the taxonomy where the dictionary has an entry of more than ten products under the code's prefix."""
-    return taxonomy.preclassify(code_rows(spark, sf_dir), taxonomy_table(spark, sf_dir), shared.dictionary_b(spark, sf_dir), 10)
+    """Line and kind from the taxonomy where the dictionary has an entry of more than a hundred products under the code's prefix."""
+    return taxonomy.preclassify(code_rows(spark, sf_dir), taxonomy_table(spark, sf_dir), shared.dictionary_b(spark, sf_dir))
+
+
+@query("dict_route", ("rows_", "dictionary"), """SELECT * FROM (
+WITH asked AS (SELECT DISTINCT source_file AS upload, CASE WHEN length(h) >= 4 THEN h[1:4] END AS heading FROM (SELECT source_file, regexp_replace(hs_code, '\\D', '', 'g') AS h FROM rows_)),
+sizes AS (SELECT product_line AS dictionary_id, count(*) AS size FROM dictionary GROUP BY 1),
+listed AS (SELECT DISTINCT product_line AS dictionary_id, regexp_replace(hs_code, '\\D', '', 'g')[1:4] AS heading FROM dictionary WHERE length(regexp_replace(hs_code, '\\D', '', 'g')) >= 4),
+best AS (SELECT upload, min((-o, -size, dictionary_id)) AS b FROM (SELECT upload, dictionary_id, count(*) AS o FROM asked JOIN listed USING (heading) GROUP BY ALL) JOIN sizes USING (dictionary_id) GROUP BY upload)
+SELECT upload, coalesce(b[3], 'active') AS dictionary_id, coalesce(-b[1], 0)::BIGINT AS overlap FROM (SELECT DISTINCT upload FROM asked) LEFT JOIN best USING (upload)) x""")
+def dict_route(spark, sf_dir):
+    """Each source file to the product line's dictionary that covers most of its headings."""
+    entries = shared.dictionary(spark, sf_dir)
+    sizes = entries.groupBy("product_line").agg(F.count("*").alias("size"))
+    lists = D.heading_list(entries, ["product_line"]).join(sizes, "product_line").withColumnRenamed("product_line", "dictionary_id")
+    uploads = views.rows(spark, sf_dir).select(F.col("source_file").alias("upload"), "hs_code")
+    return D.route(uploads, lists, "active")
+
+
+_COUNT_TERMS = " + ".join(f"contains(lower(d), {q(t)})::INT" for t in dict.fromkeys(K.COMPONENT_TERMS))
+
+
+@query("kind_rules", ("declarations", "taxonomy"), f"""SELECT row_id, CASE WHEN n >= 2 THEN 'LK' WHEN t.default_type IN ('NC', 'LK') THEN t.default_type WHEN n >= 1 THEN 'LK' ELSE 'NC' END AS kind
+FROM (SELECT row_id, code, {_COUNT_TERMS} AS n FROM (SELECT row_id, regexp_replace(hs_code, '\\D', '', 'g') AS code,
+  CASE WHEN class1 = 'ring' THEN 'Vòng đệm, nắp ' WHEN class1 = 'rod' THEN 'Trục ' ELSE '' END || detailed_product_en AS d FROM declarations) x) y
+LEFT JOIN (SELECT * FROM taxonomy WHERE length(hs_code_prefix) = 6) t ON t.hs_code_prefix = code[1:6]""")
+def kind_rules(spark, sf_dir):
+    """Kind of every declaration by component words and its code's record."""
+    head = F.when(F.col("class1") == "ring", "Vòng đệm, nắp ").when(F.col("class1") == "rod", "Trục ").otherwise("")
+    rows = views.declarations(spark, sf_dir).select("row_id", codes.hs_digits(F.col("hs_code")).alias("code"), F.concat(head, "detailed_product_en").alias("d"))
+    six = taxonomy_table(spark, sf_dir).where("length(hs_code_prefix) = 6")
+    known = taxonomy.longest_prefix(rows.select("code").distinct(), six, (6,)).select("code", "default_type")
+    return rows.join(known, "code", "left").select("row_id", text.kind_by_rules(F.col("d"), F.col("default_type")).alias("kind"))

@@ -46,18 +46,18 @@ def nb_predict(spark, sf_dir):
 
 cte("quality_train", (), f"""SELECT source AS hs_code, quality::VARCHAR AS label, {sql_squeeze('text')} AS clean_text,
   doc_id AS row_id FROM documents JOIN labels USING (doc_id)""")
-bayes_ctes("nb_quality", "quality_train", "quality_train")
+cte("quality_rows", (), f"SELECT source AS hs_code, {sql_squeeze('text')} AS clean_text, doc_id AS row_id FROM documents")
+bayes_ctes("nb_quality", "quality_train", "quality_rows")
 
 
 @query("nb_predict_documents", ("nb_quality",),
        "SELECT row_id, label, round(confidence, 6) AS confidence, n_labels FROM nb_quality")
 def nb_predict_documents(spark, sf_dir):
+    """Learned from the documents with a label, applied to all documents."""
     from cargoline.functions import text
-    docs = views.documents(spark, sf_dir)
-    rows = docs.join(views.table(spark, sf_dir, "labels"), "doc_id").select(
-        F.col("doc_id").alias("row_id"), F.col("source").alias("hs_code"), F.col("quality").cast("string").alias("label"),
-        text.squeeze(F.col("text")).alias("clean_text"))
-    found = classifier.predict(classifier.train(rows), rows)
+    docs = views.documents(spark, sf_dir).select("doc_id", F.col("source").alias("hs_code"), text.squeeze(F.col("text")).alias("clean_text"))
+    known = docs.join(views.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label")), "doc_id")
+    found = classifier.predict(classifier.train(known.withColumnRenamed("doc_id", "row_id")), docs.withColumnRenamed("doc_id", "row_id"))
     return found.select("row_id", "label", F.round("confidence", 6).alias("confidence"), "n_labels")
 
 

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
-from cargoline.operators import classifier, dictionary, joins, knowledge, report, taxonomy
+from cargoline.functions import text
+from cargoline.operators import classifier, dictionary, dictionary as D, joins, knowledge, report, taxonomy
 from cargoline.plans import cascade, refresh
 from cargoline.session import shared_dir
 
@@ -144,3 +145,17 @@ def test_taxonomy_prefix_and_upsert(spark):
                                     "hs_code_prefix string, product_line string, industry_name string, default_type string, seq int")
     got = {r.hs_code_prefix: (r.product_line, r.source) for r in taxonomy.upsert(tax, updates).collect()}
     assert got == {"9405": ("N", "user_input"), "940510": ("L", "s")}
+
+
+def test_route_picks_the_dictionary_with_most_headings(spark):
+    uploads = spark.createDataFrame([("a", "9405.10"), ("a", "85390000"), ("a", "8539"), ("b", "1111"), ("b", None), ("c", "7020"), ("c", "xx")], "upload string, hs_code string")
+    lists = spark.createDataFrame([("d1", 5, "8539, 9405,9405"), ("d2", 9, "9405,7020"), ("d0", 9, "7020"), ("d3", 1, "")], "dictionary_id string, size long, headings string")
+    got = {r.upload: (r.dictionary_id, r.overlap) for r in D.route(uploads, lists, "active").collect()}
+    assert got == {"a": ("d1", 2), "b": ("active", 0), "c": ("d0", 1)}
+    assert D.route(uploads, lists.limit(0)).where("dictionary_id IS NULL").count() == 3
+
+
+def test_kind_by_three_rules(spark):
+    rows = [("Vòng đệm, nắp", "NC", "LK"), ("trục quay", "NC", "NC"), ("trục quay", None, "LK"), ("trục quay", "??", "LK"), ("đèn", "LK", "LK"), ("lamp", None, "NC"), (None, None, "NC")]
+    df = spark.createDataFrame(rows, "d string, mapped string, expected string")
+    assert df.where(text.kind_by_rules(F.col("d"), F.col("mapped")) != F.col("expected")).count() == 0
