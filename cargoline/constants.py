@@ -148,3 +148,9 @@ CLEAN_COLUMNS = [
     "product_line", "kind", "class1", "class2", "power", "country", "continent", "purpose", "exporter", "incoterms",
     "method_of_payment", "power_2", "kind_1", "kind_2", "year", "status",
 ]
+
+# Words that mark a component in the three-rule kind.
+KIND_RULE_TERMS = [
+    "linh kiện", "phụ tùng", "bộ phận", "nắp", "vòi", "thân", "đáy", "phôi", "gioăng", "vòng", "đệm", "vít", "ốc", "trục", "khuôn", "viền", "vỏ", "lõi",
+    "tấm", "phụ kiện", "mảnh", "miếng", "nút", "đầu", "tay cầm", "ruột", "cán", "khung", "mặt nạ", "chân", "đế", "ống hút", "nút bấm", "vòng đệm", "đui",
+    "chấn lưu", "driver", "pcba", "mạch", "bảng mạch", "module", "mô-đun"]

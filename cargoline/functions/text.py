@@ -158,11 +158,11 @@ def infer_kind(description: Column, component_terms: Sequence[str] = K.COMPONENT
     return F.when(any_term(F.lower(description), component_terms), F.lit("LK")).otherwise(F.lit("NC"))
 
 
-def kind_by_rules(description: Column, mapped: Column, component_terms: Sequence[str] = K.COMPONENT_TERMS) -> Column:
+def kind_by_rules(description: Column, mapped: Column, component_terms: Sequence[str] = K.KIND_RULE_TERMS) -> Column:
     """Kind by three rules: two component words or more make a component; else what the code's record says (``mapped``); else one component word
     makes one; else a finished good."""
     low = F.lower(F.coalesce(description, F.lit("")))
-    found = sum((F.contains(low, F.lit(t)).cast("int") for t in dict.fromkeys(component_terms)), F.lit(0))
+    found = sum((F.contains(low, F.lit(t)).cast("int") for t in component_terms), F.lit(0))
     return F.when(found >= 2, "LK").when(mapped.isin("NC", "LK"), mapped).when(found >= 1, "LK").otherwise("NC")
 
 

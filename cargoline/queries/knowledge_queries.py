@@ -257,7 +257,7 @@ def dict_route(spark, sf_dir):
     return D.route(uploads, lists, "active")
 
 
-_COUNT_TERMS = " + ".join(f"contains(lower(d), {q(t)})::INT" for t in dict.fromkeys(K.COMPONENT_TERMS))
+_COUNT_TERMS = " + ".join(f"contains(lower(d), {q(t)})::INT" for t in K.KIND_RULE_TERMS)
 
 
 @query("kind_rules", ("declarations", "taxonomy"), f"""SELECT row_id, CASE WHEN n >= 2 THEN 'LK' WHEN t.default_type IN ('NC', 'LK') THEN t.default_type WHEN n >= 1 THEN 'LK' ELSE 'NC' END AS kind
