@@ -7,8 +7,8 @@ be there too; the run of words that agree around the posting is then measured, a
 runs of all postings together cover exactly the words inside occurring windows. ``near`` finds terms within a distance of each other by
 the same postings.
 
-The test terms are broadcast while their number is below ``BROADCAST_WORDS``; a larger benchmark goes through a shuffle of the postings, with
-the same result. A posting carries its surroundings, never a list of other postings, so a frequent term or passage is no group.
+The test terms and the index entries are each broadcast while their words are at most ``BROADCAST_WORDS``; a larger benchmark goes through a
+shuffle of the postings, with the same result. An entry and a posting carry their surroundings, never a whole item or a list of other postings, so a frequent term or passage is no group.
 
 Null, empty and wordless texts have no words and no hits; items without words have no windows. Rows of equal id and text count as one when
 hits are gathered, and every row of the input is in the result. Ties between equally rare terms go to the first in the window.
@@ -22,13 +22,13 @@ from cargoline.llm.words import keyed, words
 from cargoline.session import materialize
 
 WINDOW = 10
-#: Words of all test items together up to which they are sent to every task: about 200 MB.
-BROADCAST_WORDS = 2_000_000
+#: Words of all test items, and of all index entries, up to which these are sent to every task: about 200 MB.
+BROADCAST_WORDS = 8_000_000
 
 
 def _items(tests: DataFrame, id_col: str, text: str, window: int) -> DataFrame:
     t = tests.select(F.col(f"`{id_col}`").alias("item_id"), words(F.col(f"`{text}`")).alias("item")).where(F.size("item") > 0).distinct()
-    return t.withColumn("length", F.least(F.lit(window), F.size("item")))
+    return t.select("item_id", F.monotonically_increasing_id().alias("number"), "item", F.least(F.lit(window), F.size("item")).alias("length"))
 
 
 def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
@@ -38,21 +38,27 @@ def term_counts(postings: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def _entries(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """Index entries: the rarest place of each window; one place serves all windows it is rarest in."""
-    places = items.select("item_id", "item", "length", F.posexplode("item").alias("at", "term")).join(counts, "term")
-    key = F.struct("n", "at", "term")
+    """Index entries: the rarest place of each window; one place serves all windows it is rarest in.
+
+    An entry holds the words that its windows can hold, at most ``2 * length - 1`` of them, and the place of its term among these: the entries of
+    an item grow in proportion to its words.
+    """
+    places = items.select("item_id", "number", "length", F.size("item").alias("n_words"), F.posexplode("item").alias("at", "term")).join(counts, "term")
+    by_place = W.partitionBy("number").orderBy("at")
     # the frame depends on an item's window length, so each length gets its own
     lengths = [r[0] for r in items.select("length").distinct().collect()]  # at most ``window`` of them
     parts = []
     for n in sorted(lengths):
-        frame = W.partitionBy("item_id", "item").orderBy("at").rowsBetween(0, n - 1)
-        parts.append(places.where(F.col("length") == n).withColumn("best", F.min(key).over(frame)).where(F.col("at") <= F.size("item") - n))
+        around = F.collect_list("term").over(by_place.rowsBetween(1 - n, n - 1))
+        best = F.min(F.struct("n", "at", "term", "item")).over(by_place.rowsBetween(0, n - 1))
+        parts.append(places.where(F.col("length") == n).withColumn("item", around).withColumn("best", best).where(F.col("at") <= F.col("n_words") - n))
     if not parts:
-        return places.where("false").select("item_id", "item", "length", F.col("at").alias("item_at"), "term")
+        return places.where("false").select("item_id", F.array("term").alias("item"), "length", F.col("at").alias("item_at"), "term")
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    return every.select("item_id", "item", "length", F.col("best.at").alias("item_at"), F.col("best.term").alias("term")).distinct()
+    inside = F.least(F.col("best.at"), F.col("length") - 1)
+    return every.select("item_id", F.col("best.item").alias("item"), "length", inside.alias("item_at"), F.col("best.term").alias("term")).distinct()
 
 
 def _run(a: Column, b: Column) -> Column:
@@ -95,7 +101,7 @@ def phrase_matches(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", te
     # the outer form of explode: else Spark cuts every text into words once more to filter the empty ones
     counts = materialize(term_counts(source.select(F.explode_outer("words").alias("term")), hint(terms)), "term-counts")
     entries = materialize(_entries(items, counts), "index-entries")
-    if small:
+    if (entries.agg(F.sum(F.size("item"))).first()[0] or 0) <= broadcast_words:
         postings = source.select("id", "text_hash", "words", F.posexplode_outer("words").alias("at", "term"))
         found = _around(postings.join(F.broadcast(entries), "term"))
     else:

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from cargoline.llm.batches import ship
 from cargoline.llm.graph import components
@@ -44,7 +44,7 @@ ROUNDS = 12
 MEDOIDS = 32
 #: Open nodes that one step expands.
 _STEP = 8
-AUDIT = 256
+AUDIT = 1024
 
 
 def _unit(vectors) -> np.ndarray:
@@ -57,6 +57,12 @@ def usable(embedding: Column, label: Column, id_col: Column) -> Column:
     return F.coalesce(label.isNotNull() & id_col.isNotNull() & ~bad & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
+def _vectors(rows: DataFrame, id_col: str, embedding: str, label: str) -> DataFrame:
+    """(id, embedding, label). Single-precision vectors stay as they are, since doubling them loses nothing; all other numbers become doubles."""
+    kind = "array<float>" if rows.schema[embedding].dataType == T.ArrayType(T.FloatType(), rows.schema[embedding].dataType.containsNull) else "array<double>"
+    return rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{embedding}`").cast(kind).alias("embedding"), F.col(f"`{label}`").cast("string").alias("label"))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Unit centres of unit vectors, from seeds far apart. Centres of length one keep the cells even where vectors point everywhere."""
     centres, far = [x[0]], 1 - x @ x[0]
@@ -114,7 +120,7 @@ def _split(cells: DataFrame, big: DataFrame, cell_size: int) -> DataFrame:
         return pd.concat(out)
 
     return placed.groupBy("cell", "part").cogroup(spread.groupBy("cell", "part")).applyInPandas(
-        assign, "cell string, node bigint, copies bigint, embedding array<float>, first boolean")
+        assign, f"cell string, node bigint, copies bigint, embedding {cells.schema['embedding'].dataType.simpleString()}, first boolean")
 
 
 def _cells(points: DataFrame, cell_size: int) -> tuple[DataFrame, DataFrame]:
@@ -328,7 +334,7 @@ def links(points: DataFrame, threshold: float = THRESHOLD, cell_size: int = CELL
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
                     cell_size: int = CELL_SIZE) -> DataFrame:
     """One row per row of ``rows``: id, ``n_links``, ``component_id`` and ``kept`` (whether the row's id names its component)."""
-    data = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{embedding}`").cast("array<float>").alias("embedding"), F.col(f"`{label}`").cast("string").alias("label"))
+    data = _vectors(rows, id_col, embedding, label)
     good = data.where(usable(F.col("embedding"), F.col("label"), F.col("id")))
     points = materialize(good.groupBy("label", "embedding").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "points")
     found = links(points, threshold, cell_size)
@@ -346,12 +352,19 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", embedding: str = "e
 
 
 def recall(rows: DataFrame, result: DataFrame, id_col: str = "vec_id", embedding: str = "embedding", label: str = "label", threshold: float = THRESHOLD,
-           queries: int = AUDIT) -> float:
-    """Share of the links of at most ``queries`` vectors (the first by a hash of their id), found by comparing each with all vectors, that ``result`` counts."""
+           queries: int = AUDIT) -> tuple[float, int]:
+    """Mean share of a vector's links to different vectors that ``result`` counts, and over how many vectors the mean goes.
+
+    At most ``queries`` different vectors (the first by a hash of their smallest id) are compared with all rows; those that this links with a
+    different vector are judged, each once, however many copies it has. Links between copies come from a grouping, not from the graph, and are
+    left out. Without a judged vector the share is 1 and the number 0.
+    """
     ship(rows.sparkSession)
-    data = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{embedding}`").cast("array<float>").alias("embedding"), F.col(f"`{label}`").cast("string").alias("label"))
+    data = _vectors(rows, id_col, embedding, label)
     data = data.where(usable(F.col("embedding"), F.col("label"), F.col("id")))
-    asked = data.orderBy(F.xxhash64("id"), "id").limit(queries).toPandas()  # ``queries`` rows at most
+    unique = data.groupBy("label", F.xxhash64("embedding").alias("hash")).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    drawn = unique.orderBy(F.xxhash64("id"), "id").limit(queries).select("id", "copies")  # ``queries`` rows at most
+    asked = data.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).toPandas()
     shared = rows.sparkSession.sparkContext.broadcast([(l, len(e), i, e) for i, e, l in asked[["id", "embedding", "label"]].itertuples(index=False)])
 
     def compare(batches):
@@ -368,6 +381,10 @@ def recall(rows: DataFrame, result: DataFrame, id_col: str = "vec_id", embedding
                         sums[i] = sums.get(i, 0) + n
             yield pd.DataFrame({"id": list(sums), "n": list(sums.values())}, columns=["id", "n"])
 
-    exact = data.mapInPandas(compare, "id bigint, n bigint").groupBy("id").agg((F.sum("n") - 1).alias("n"))
-    both = exact.join(result.select(F.col(id_col).alias("id"), "n_links"), "id").agg(F.sum("n"), F.sum(F.least("n", "n_links"))).first()
-    return 1.0 if not both[0] else both[1] / both[0]
+    counted = data.mapInPandas(compare, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    copies = rows.sparkSession.createDataFrame(asked[["id", "copies"]].astype("int64"), "id bigint, copies bigint")
+    got = result.groupBy(F.col(id_col).alias("id")).agg(F.max("n_links").alias("n_links"))
+    both = counted.join(F.broadcast(copies), "id").where("n > copies").join(got, "id").select(
+        (F.col("n") - F.col("copies")).alias("exact"), (F.col("n_links") - F.col("copies") + 1).alias("found"))
+    share, judged = both.agg(F.avg(F.least("exact", "found") / F.col("exact")), F.count("*")).first()
+    return (1.0, 0) if not judged else (share, judged)

@@ -135,7 +135,7 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "embeddings")
     result = materialize(embed.near_duplicates(rows), "embedding-links")
-    found = embed.recall(rows, result)
+    found, _ = embed.recall(rows, result)
     if found < 0.9:
         raise RuntimeError(f"the audit found a recall of {found:.3f}")
     return result
@@ -197,7 +197,8 @@ hashed AS (SELECT c, turns, {crc_sql('k')} % 4 AS h FROM ids, crc_table),
 rebuilt AS (SELECT o.c, list_concat(coalesce(s.turns, [])[1:h], o.turns[h + 1:]) AS seq FROM hashed o LEFT JOIN own s ON s.c = o.c - ((o.c % 20) + 20) % 20),
 rows AS (SELECT c, len(seq) AS l, d, seq[1:d] AS prefix FROM (SELECT c, seq, unnest(range(len(seq) + 1)) AS d FROM rebuilt)),
 nodes AS (SELECT d, prefix, min(c) AS conv_id, count(*) AS n_convs, list(c ORDER BY c) FILTER (l = d) AS ends FROM rows GROUP BY d, prefix),
-costs AS (SELECT *, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(prefix[d].text, '[ 	-]+'), lambda w: w <> '')) END AS cost FROM nodes),
+costs AS (SELECT *, (n_convs - 1) * CASE WHEN d = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(prefix[d].text, '[ 	-
+]+'), lambda w: w <> '')) END AS cost FROM nodes),
 kids AS (SELECT prefix[1:d - 1] AS up, d - 1 AS ud, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
 full_nodes AS (SELECT c.*, coalesce(n_children, 0) AS n_children FROM costs c LEFT JOIN kids k ON k.ud = c.d AND k.up = c.prefix),
 above AS (SELECT unnest(range(d + 1)) AS ud, prefix, cost, n_children FROM full_nodes),
