@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cargoline.queries import (file_queries, knowledge_queries, match_queries, model_queries, report_queries,  # noqa: F401
+from cargoline.queries import (file_queries, knowledge_queries, linear_queries, match_queries, model_queries, report_queries,  # noqa: F401
                                standard_queries, text_queries)
 from cargoline.queries.registry import ORACLES, QUERIES  # noqa: F401
 
