@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
@@ -13,6 +15,8 @@ from cargoline.plans.shared import dictionary, dictionary_b, ground_truth
 from cargoline.queries.oracle import (CTES, cte, masked_ctes, overlap_sql, phrase_sql, sql_clean_basic, sql_words,
                                       weighted_ctes)
 from cargoline.queries.registry import query
+from cargoline.session import scratch_path
+from cargoline.sources import tables
 
 L4 = "product_line, kind, class1, class2"
 
@@ -99,6 +103,17 @@ def match_history(spark, sf_dir):
                     F.col("history_label.class2").alias("history_class2"))
 
 
+@query("match_history_table", ("rows_", "ground_truth"), """SELECT row_id, g.product_line AS history_line,
+  g.class2 AS history_class2 FROM rows_ r LEFT JOIN ground_truth g ON g.hs_code = r.hs_code AND g.clean_text = r.clean_text""")
+def match_history_table(spark, sf_dir):
+    """The history as a bucketed table: only the declarations are shuffled."""
+    table = f"history_{uuid.uuid4().hex}"
+    tables.save_ground_truth(ground_truth(spark, sf_dir), table, path=scratch_path(spark, "history"))
+    rows = views.rows(spark, sf_dir).select("row_id", "hs_code", "clean_text")
+    m = match.match_history(rows, tables.load_ground_truth(spark, table))
+    return m.select("row_id", F.col("history_label.product_line").alias("history_line"), F.col("history_label.class2").alias("history_class2"))
+
+
 @query("match_phrase", ("new_rows", "dictionary"), phrase_sql("new_rows"))
 def match_phrase(spark, sf_dir):
     m = match.match_phrase(views.new_rows(spark, sf_dir), dictionary(spark, sf_dir))

@@ -57,10 +57,26 @@ def write_aliases(spark: SparkSession, path: str, aliases=K.LABEL_ALIASES) -> No
     spark.range(1).select(F.to_json(table)).coalesce(1).write.text(path)
 
 
-def save_ground_truth(ground_truth: DataFrame, table: str, buckets: int = 64) -> None:
-    """Replace the ground-truth table, bucketed and sorted by code, so that look-ups by code need no shuffle of it."""
-    (ground_truth.write.mode("overwrite").bucketBy(buckets, "hs_code").sortBy("hs_code", "class2")
-     .format("parquet").saveAsTable(table))
+#: What the history is looked up by. A code alone would put a hot code into one bucket; a code and a text is one row.
+HISTORY_KEYS = ["hs_code", "clean_text"]
+
+
+def save_ground_truth(ground_truth: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> None:
+    """Replace the ground-truth table, bucketed and sorted by code and text, so that look-ups in it shuffle only what is looked up.
+
+    The rows are dealt out by the buckets' own keys first: every task writes one file of one bucket. ``path`` places the files outside the
+    warehouse.
+    """
+    writer = (ground_truth.repartition(buckets, *HISTORY_KEYS).write.mode("overwrite").bucketBy(buckets, *HISTORY_KEYS)
+              .sortBy(*HISTORY_KEYS).format("parquet"))
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+
+
+def load_ground_truth(spark: SparkSession, table: str) -> DataFrame:
+    """The saved table with its buckets. ``match_history`` and the cascade join it as it lies."""
+    return spark.table(table)
 
 
 def mapping_json(mapping: DataFrame) -> DataFrame:

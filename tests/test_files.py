@@ -1,6 +1,6 @@
 import json
 
-from cargoline.operators import knowledge
+from cargoline.operators import knowledge, match
 from cargoline.sources import files, tables
 
 
@@ -47,6 +47,26 @@ def test_ground_truth_table_is_bucketed_and_replaced(spark):
     spark.sql("DROP TABLE truth_check")
 
 
+def test_history_table_is_not_shuffled(spark, tmp_path):
+    """The join with the saved history moves the declarations alone, in the matcher and in the cascade's first stage."""
+    truth = spark.createDataFrame([(f"94{k % 7}", "A", f"text {k}", "L", "NC", "c", f"x{k}") for k in range(300)],
+                                  "hs_code string, product_name string, clean_text string, product_line string, kind string, class1 string, class2 string")
+    rows = spark.createDataFrame([(k, f"94{k % 7}", f"text {k}") for k in range(0, 600, 3)] + [(999, None, None)], "row_id bigint, hs_code string, clean_text string")
+    tables.save_ground_truth(truth, "history_check", buckets=4, path=str(tmp_path / "history"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        matched = match.match_history(rows, tables.load_ground_truth(spark, "history_check"))
+        plan = matched._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        got = {r.row_id: r.history_label and r.history_label.class2 for r in matched.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {k: f"x{k}" if k < 300 else None for k in range(0, 600, 3)} | {999: None}
+    assert len(list((tmp_path / "history").glob("*.parquet"))) == 4
+    spark.sql("DROP TABLE history_check")
+
+
 def test_mapping_as_json(spark):
     rows = [("94051000", "SP A", "NC", "a", "b"), ("94052000", "SP A", "LK", "a", "c")]
     df = spark.createDataFrame(rows, "hs_code string, product_line string, kind string, class1 string, class2 string")
