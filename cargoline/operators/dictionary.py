@@ -160,6 +160,27 @@ def top_keywords(candidates: DataFrame, by: Sequence[str], limit: int = 15, wind
     return settled.unionByName(_top_keywords(free, by, order, limit))
 
 
+def maximal_keywords(candidates: DataFrame, by: Sequence[str], limit: int = 15, n_max: int = 3) -> DataFrame:
+    """The best ``limit`` candidates per class after longer ones have replaced the shorter ones that they contain as a run of words.
+
+    Whatever their scores, of two candidates of a class only the longer stays if it contains the other: what stays are the maximal
+    candidates. Each candidate, of ``n_max`` words at most, names its proper runs of words and an anti-join drops what is named. Ties go to the
+    more frequent candidate, then by text.
+    """
+    by = list(by)
+    # read twice; the counts behind it are not made again
+    candidates = materialize(candidates.select(*by, "gram", "score", "lf"), "candidates")
+    words = F.split("gram", " ")
+    inside = F.array_except(text.ngrams(words, 1, n_max), F.array("gram"))
+    contained = candidates.where(F.size(words) > 1).select(*by, F.explode(inside).alias("gram"))
+    # a class key may be null, which an anti-join by name would not meet
+    keys = [*by, "gram"]
+    named = contained.groupBy(*keys).agg(F.lit(1).alias("one")).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    order = [F.desc("score"), F.desc("lf"), F.col("gram")]
+    return _top_keywords(candidates.join(named, same, "left_anti"), by, order, limit)
+
+
 def _heading_map(mapping: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
+from cargoline.session import materialize
 
 
 
@@ -109,6 +110,31 @@ def page(df: DataFrame, order_by: str, skip: int, limit: int) -> DataFrame:
     return df.orderBy(order_by).offset(skip).limit(limit)
 
 
+def in_ranges(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """``df`` written in ranges of ``order_by``, their number as ``_range``: made once, read by ``deep_page`` for any number of pages."""
+    return materialize(df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def deep_page(ranged: DataFrame, order_by: Sequence[str], skip: int, limit: int) -> DataFrame:
+    """Rows ``skip`` to ``skip + limit`` in the order of ``order_by``, nulls first, without sorting or gathering what lies before them.
+
+    The rows of each range are counted, which reads no other column, and only the ranges that hold a part of the page are read and sorted.
+    ``order_by`` should tell rows apart: equal rows share a range, and a page that cuts through them takes any.
+    """
+    counts = sorted(ranged.groupBy("_range").agg(F.count("*").alias("n")).collect())  # one row per range
+    before, first, offset, held = 0, None, 0, []
+    for number, n in counts:
+        if before < skip + limit and before + n > skip:
+            if first is None:
+                first, offset = number, skip - before
+            held.append(number)
+        before += n
+    if first is None or limit < 1:
+        return ranged.drop("_range").limit(0)
+    rows = ranged.where(F.col("_range").between(first, held[-1])).drop("_range")
+    return rows.orderBy(*order_by).offset(offset).limit(limit)
+
+
 def spot_check(df: DataFrame, by: str, key: str, per_group: int = 10, seed: int = 42) -> DataFrame:
     """Up to ``per_group`` rows per group in hash order: a repeatable sample, cut per task before the shuffle."""
     order = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))

@@ -12,7 +12,7 @@ from cargoline.operators import dictionary as D
 from cargoline.operators import knowledge, match
 from cargoline.plans import views
 from cargoline.plans.shared import dictionary, dictionary_b, ground_truth
-from cargoline.queries.oracle import (CTES, cte, masked_ctes, overlap_sql, phrase_sql, sql_clean_basic, sql_words,
+from cargoline.queries.oracle import (CTES, cte, masked_ctes, overlap_sql, phrase_sql, sql_clean_basic, sql_ngrams, sql_words,
                                       weighted_ctes)
 from cargoline.queries.registry import query
 from cargoline.session import scratch_path
@@ -88,6 +88,19 @@ def keyword_topn(spark, sf_dir):
     return D.top_keywords(c, by).withColumn("keywords", F.array_join("keywords", ", "))
 
 
+@query("keyword_maximal", ("candidates",), f"""SELECT hs_code, {L4}, string_agg(gram, ', ' ORDER BY score DESC, lf DESC, gram) AS keywords
+FROM (SELECT *, row_number() OVER (PARTITION BY hs_code, {L4} ORDER BY score DESC, lf DESC, gram) AS place FROM (SELECT c.* FROM candidates c
+  LEFT JOIN (SELECT DISTINCT hs_code, {L4}, part, 1 AS named FROM (SELECT hs_code, {L4}, gram, unnest({sql_ngrams('w')}) AS part
+    FROM (SELECT *, string_split(gram, ' ') AS w FROM candidates) a) b WHERE part <> gram) p
+  ON p.part = c.gram AND {' AND '.join(f'p.{k} IS NOT DISTINCT FROM c.{k}' for k in ('hs_code', *K.LABEL_COLUMNS))}
+  WHERE named IS NULL) f) t WHERE place <= 15 GROUP BY ALL""")
+def keyword_maximal(spark, sf_dir):
+    """Keywords per class when longer ones replace shorter ones."""
+    by = ["hs_code", *K.LABEL_COLUMNS]
+    c = D.keyword_candidates(D.mining_rows(views.history(spark, sf_dir)), by)
+    return D.maximal_keywords(c, by).withColumn("keywords", F.array_join("keywords", ", "))
+
+
 @query("dict_from_labelled", ("dictionary_b",),
        f"SELECT entry_id, array_to_string(keywords, ', ') AS keywords, {L4}, hs_code, n_products FROM dictionary_b")
 def dict_from_labelled(spark, sf_dir):

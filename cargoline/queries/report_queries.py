@@ -314,6 +314,14 @@ def page_rows(spark, sf_dir):
     return R.page(views.goods(spark, sf_dir).select("row_id", "detailed_product_en"), "row_id", 100, 50)
 
 
+@query("page_rows_deep", ("declarations",), """SELECT row_id, detailed_product_en FROM declarations
+ORDER BY detailed_product_en NULLS FIRST, row_id LIMIT 50 OFFSET 1000""")
+def page_rows_deep(spark, sf_dir):
+    """A page far back, by text: only the range that holds it is sorted."""
+    order = ["detailed_product_en", "row_id"]
+    return R.deep_page(R.in_ranges(views.goods(spark, sf_dir).select("row_id", "detailed_product_en"), order), order, 1000, 50)
+
+
 @query("spotcheck_sample", ("declarations",), """SELECT row_id, source_file FROM declarations
 QUALIFY row_number() OVER (PARTITION BY source_file ORDER BY md5(row_id || ':42'), row_id) <= 10""")
 def spotcheck_sample(spark, sf_dir):

@@ -159,3 +159,24 @@ def test_kind_by_three_rules(spark):
     rows = [("Vòng đệm, nắp", "NC", "LK"), ("trục quay", "NC", "NC"), ("trục quay", None, "LK"), ("trục quay", "??", "LK"), ("đèn", "LK", "LK"), ("lamp", None, "NC"), (None, None, "NC")]
     df = spark.createDataFrame(rows, "d string, mapped string, expected string")
     assert df.where(text.kind_by_rules(F.col("d"), F.col("mapped")) != F.col("expected")).count() == 0
+
+
+def test_longer_keywords_replace_shorter_ones(spark):
+    rows = [("x", "đèn led", 9.0, 5), ("x", "đèn led âm", 1.0, 1), ("x", "led", 20.0, 9), ("x", "bóng", 3.0, 2), ("x", "oled", 2.0, 2), ("x", "âm trần", 2.0, 3),
+            ("y", "led", 4.0, 4), ("y", "led", 4.0, 4), (None, "led", 4.0, 4), (None, "led pha", 3.0, 1)]
+    df = spark.createDataFrame(rows[:7] + rows[8:], "c string, gram string, score double, lf bigint")
+    got = {r.c: r.keywords for r in dictionary.maximal_keywords(df, ["c"], limit=3).collect()}
+    assert got == {"x": ["bóng", "âm trần", "oled"], "y": ["led"], None: ["led pha"]}
+    assert dictionary.maximal_keywords(df, ["c"], limit=9).where("c = 'x'").first().keywords == ["bóng", "âm trần", "oled", "đèn led âm"]
+    assert dictionary.maximal_keywords(df.where("false"), ["c"]).count() == 0
+
+
+def test_deep_page_equals_a_sorted_list(spark):
+    values = [(None if k % 11 == 0 else f"t{k * 7919 % 50:02d}", k) for k in range(400)] + [("t10", 1000 + k) for k in range(300)]  # one key holds a large part
+    df = spark.createDataFrame(values, "t string, k bigint")
+    order = ["t", "k"]
+    ranged = report.in_ranges(df.repartition(6), order)
+    want = sorted(values, key=lambda v: (v[0] is not None, v[0] or "", v[1]))
+    for skip, limit in ((0, 5), (133, 40), (350, 1), (650, 100), (699, 1), (700, 5), (10, 0), (0, 700)):
+        assert [(r.t, r.k) for r in report.deep_page(ranged, order, skip, limit).collect()] == want[skip:skip + limit]
+    assert report.deep_page(report.in_ranges(df.where("false"), order), order, 0, 5).count() == 0
