@@ -57,6 +57,38 @@ def scan_malformed_count(spark, sf_dir):
                      F.count(F.when(~F.col("malformed"), 1)).alias("n_good"))
 
 
+#: Customers in a file of mixed kind.
+_PER_FILE = 50
+cte("mixed", (), f"""SELECT c_custkey AS id, c_custkey // {_PER_FILE} AS part, c_name AS name, 'Café ' || c_mktsegment AS segment, c_acctbal FROM customer""")
+
+
+def write_mixed_files(spark, sf_dir) -> str:
+    """Customer files of three kinds: UTF-8, Latin-1, and with line breaks inside quotes. Some name one column more; a few lines have too many fields."""
+    rows = views.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / _PER_FILE).alias("part"), F.col("c_name").alias("name"), F.concat(F.lit("Café "), "c_mktsegment").alias("segment"))
+    rows = rows.withColumn("kind", F.element_at(F.array(F.lit("plain"), F.lit("latin"), F.lit("quoted")), (F.col("part") % 3 + 1).cast("int")))
+    rows = rows.withColumn("more", F.col("part") % 2 == 1)
+    broken = F.when(F.col("kind") == "quoted", F.concat(F.lit('"'), "name", F.lit('\n""'), "segment", F.lit('"""'))).otherwise(F.concat(F.lit('"'), "name", F.lit(", "), "segment", F.lit('"')))
+    line = F.concat(F.col("id").cast("string"), F.lit(","), broken, F.when(F.col("more"), F.concat(F.lit(","), "segment")).otherwise(""),
+                    F.when((F.col("id") % 40 == 3), ",stray").otherwise(""))
+    header = F.concat(F.lit("HS_Code,Detailed_Product"), F.when(F.col("more"), ",Segment").otherwise(""))
+    titles = rows.select("part", "kind", "more").distinct().withColumn("line", F.concat(F.repeat(F.lit("Báo cáo\n"), K.PREAMBLE_LINES - 1), F.lit("n\u00famero\n"), header))
+    titles = titles.withColumn("line", F.when(F.col("kind") == "latin", F.replace("line", F.lit("\u1ea3"), F.lit("a"))).otherwise(F.col("line")))
+    every = titles.select("part", "kind", F.lit(-1).cast("bigint").alias("id"), "line").unionByName(rows.select("part", "kind", "id", line.alias("line")))
+    raw = F.when(F.col("kind") == "latin", F.encode("line", "ISO-8859-1").cast("string")).otherwise(F.col("line"))
+    path = scratch_path(spark, "mixed")
+    every.repartition("part").sortWithinPartitions("part", "id").select("part", raw.alias("line")).write.partitionBy("part").text(path)
+    return path
+
+
+@query("scan_mixed_files", ("mixed",), """SELECT id::VARCHAR AS id, CASE WHEN part % 3 = 2 THEN name || chr(10) || '"' || segment || '"' ELSE name || ', ' || segment END AS product,
+  CASE WHEN part % 2 = 1 THEN segment END AS segment, id % 40 = 3 AS malformed FROM mixed""")
+def scan_mixed_files(spark, sf_dir):
+    """Files of two headers, two encodings and with quoted line breaks, all records."""
+    lines = files.scan_lines(spark, files.list_files(spark, write_mixed_files(spark, sf_dir)))
+    return lines.select(F.col("HS_Code").alias("id"), F.col("Detailed_Product").alias("product"), F.col("Segment").alias("segment"), "malformed")
+
+
 @query("merge_files_provenance", ("declarations",), """SELECT row_id, hs_code, NULL::VARCHAR AS buyer, 'history.csv' AS source_file,
   'import' AS direction_override FROM declarations WHERE order_date < DATE '1998-01-01'
 UNION ALL SELECT row_id, hs_code, vn_importer, 'current.csv', NULL FROM declarations WHERE order_date >= DATE '1998-01-01'""")
@@ -91,14 +123,14 @@ def sink_csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, "row_id string, hs_code string, detailed_product string, quantity string")
 
 
-@query("dict_load", ("dictionary",), f"""SELECT array_to_string(keywords, ', ') AS keywords,
+@query("dict_load", ("dictionary",), f"""SELECT array_to_string(keywords, ', ') AS keywords, n_products,
   {', '.join(f"{_no_label(c)} AS {c}" for c in [*K.LABEL_COLUMNS, 'hs_code'])} FROM dictionary""")
 def dict_load(spark, sf_dir):
     """The dictionary in its exchange format, written and loaded."""
     path = scratch_path(spark, "dict")
     tables.write_dictionary(shared.dictionary(spark, sf_dir), path)
     back = tables.load_dictionary(spark, files.list_files(spark, path, ".csv"))
-    return back.select(F.array_join("keywords", ", ").alias("keywords"), *K.LABEL_COLUMNS, "hs_code")
+    return back.select(F.array_join("keywords", ", ").alias("keywords"), "n_products", *K.LABEL_COLUMNS, "hs_code")
 
 
 _FAMILY = ("CASE p_type WHEN 'ECONOMY' THEN '9405' WHEN 'SMALL' THEN '8539' WHEN 'MEDIUM' THEN '9617' WHEN 'PROMO' THEN '7020' "

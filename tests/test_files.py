@@ -21,6 +21,31 @@ def test_preamble_encoding_and_bad_lines(spark, tmp_path):
     assert files.scan_lines(spark, [a, b, c]).where("malformed").count() == 1
 
 
+def test_quoted_line_breaks_in_both_encodings(spark, tmp_path):
+    """Records before and after the head, equal to the head's lines or not, in several files that one read takes."""
+    title = ["note, one", ""] + [f"title {i}" for i in range(7)]
+    a = write(tmp_path / "a.csv", [*title, "HS_Code,Name", '1,"two', 'lines"', "HS_Code,Name", '2,"caf\u00e9 ""x"""', "3,a,b"])
+    b = write(tmp_path / "b.csv", ["HS_Code,Name", '4,"\u00e9', '', '\u00e8"', "5,plain"], "latin1")
+    c = write(tmp_path / "c.csv", ["HS_Code,Name", '6,"x', 'y"'])
+    empty = write(tmp_path / "empty.csv", [])
+    got = sorted((r.HS_Code, r.Name, r.malformed, r.source_file) for r in files.scan_lines(spark, [a, b, c, empty]).collect())
+    assert got == [("1", "two\nlines", False, "a.csv"), ("2", 'caf\u00e9 "x"', False, "a.csv"), ("3", "a", True, "a.csv"), ("4", "\u00e9\n\n\u00e8", False, "b.csv"),
+                   ("5", "plain", False, "b.csv"), ("6", "x\ny", False, "c.csv"), ("HS_Code", "Name", False, "a.csv")]
+
+
+def test_driver_work_goes_by_headers_not_files(spark, tmp_path):
+    def jobs(folder, n):
+        folder.mkdir()
+        paths = [write(folder / f"{k}.csv", ["HS_Code,Name", f'{k},"a', 'b"' if k % 2 else 'b",']) for k in range(n)]
+        before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("heads"))
+        spark.sparkContext.setJobGroup("heads", "heads")
+        assert files.scan_lines(spark, paths).count() == n
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup("heads")) - before
+
+    assert jobs(tmp_path / "few", 4) == jobs(tmp_path / "many", 30)  # from 33 paths on, Spark lists them in jobs of its own
+
+
 def test_labelled_folder_passes_over_other_files(spark, tmp_path):
     write(tmp_path / "ok.csv", ["Mã HS,Tên hàng", "1,a"])
     write(tmp_path / "no.csv", ["Mã HS,Other", "2,b"])
