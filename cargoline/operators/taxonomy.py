@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cargoline import constants as K
 from cargoline.functions import codes, text
+from cargoline.sources import snapshots
 
 FIELDS = ["product_line", "industry_name", "default_type", "source"]
 PREFIX_LENGTHS = (10, 8, 6, 4)
@@ -96,6 +97,13 @@ def upsert(taxonomy: DataFrame, updates: DataFrame, deletes: DataFrame | None =
     return out
 
 
+def merge_into(spark: SparkSession, base: str, updates: DataFrame, deletes: DataFrame | None = None) -> snapshots.Manifest:
+    """``upsert`` on a taxonomy kept in versions (see ``sources.snapshots``): only the buckets of the updated and deleted codes are rewritten."""
+    names = updates.select("hs_code_prefix") if deletes is None else updates.select("hs_code_prefix").unionByName(deletes.select("hs_code_prefix"))
+    touched = names.select(codes.hs_digits(F.col("hs_code_prefix")).alias("hs_code_prefix"))
+    return snapshots.merge(spark, base, touched, lambda old: upsert(old, updates, deletes))
+
+
 def seed(names: DataFrame, kinds: DataFrame | None = None, source: str = "system") -> DataFrame:
     """Taxonomy records from industry names per code: line by override, heading map, or ``SP`` heading; kind or NC."""
     line_map = lambda m: F.create_map(*[F.lit(x) for pair in m.items() for x in pair])

@@ -12,6 +12,8 @@ from cargoline.plans import shared, views
 from cargoline.queries.file_queries import _FAMILY
 from cargoline.queries.oracle import cte, in_list, q, sql_clean_deep
 from cargoline.queries.registry import query
+from cargoline.session import scratch_path
+from cargoline.sources import snapshots
 
 L4 = ", ".join(K.LABEL_COLUMNS)
 
@@ -174,39 +176,68 @@ def taxonomy_longest_prefix(spark, sf_dir):
 _COMPONENT = " OR ".join(f"contains(lower(description), {q(t)})" for t in K.COMPONENT_TERMS)
 
 
-@query("taxonomy_resolve", ("code_rows", "taxonomy", "tariff"), f"""
+@query("taxonomy_resolve", ("prefix_match", "tariff"), f"""
 SELECT code, n_rows, CASE WHEN source IS NOT NULL THEN product_line WHEN description IS NOT NULL THEN
     CASE code[1:4] {' '.join(f"WHEN {q(a)} THEN {q(b)}" for a, b in K.LINE_BY_HEADING_OFFLINE.items())} ELSE 'SP ' || code[1:4] END END AS product_line,
   CASE WHEN source IS NOT NULL THEN industry_name ELSE description END AS industry_name,
   CASE WHEN source IS NOT NULL THEN default_type WHEN description IS NOT NULL THEN CASE WHEN {_COMPONENT} THEN 'LK' ELSE 'NC' END END
     AS default_type,
   CASE WHEN source IS NOT NULL THEN source WHEN description IS NOT NULL THEN 'offline' END AS source
-FROM (SELECT c.code, c.n_rows, t.product_line, t.industry_name, t.default_type, t.source, f.description
-  FROM code_rows c LEFT JOIN (SELECT * FROM taxonomy WHERE length(hs_code_prefix) = 6) t ON c.code[1:6] = t.hs_code_prefix
-  LEFT JOIN tariff f ON f.code = c.code) x""")
+FROM (SELECT p.*, f.description FROM (SELECT code, n_rows, product_line, industry_name, default_type, source FROM prefix_match) p LEFT JOIN tariff f ON f.code = p.code) x""")
 def taxonomy_resolve(spark, sf_dir):
-    six = taxonomy_table(spark, sf_dir).where("length(hs_code_prefix) = 6")
-    return taxonomy.resolve(code_rows(spark, sf_dir), six, reference_table(spark, sf_dir))
+    return taxonomy.resolve(code_rows(spark, sf_dir), taxonomy_table(spark, sf_dir), reference_table(spark, sf_dir))
+
+
+@query("taxonomy_unresolved", ("prefix_match", "tariff"), """SELECT code FROM (SELECT code, source FROM prefix_match) WHERE source IS NULL AND code NOT IN (SELECT code FROM tariff)""")
+def taxonomy_unresolved(spark, sf_dir):
+    """The codes that neither the whole taxonomy nor the tariff knows."""
+    return taxonomy.unresolved(taxonomy_resolve(spark, sf_dir))
+
+
+@query("taxonomy_offline", ("code_rows", "tariff"), f"""SELECT code, n_rows, CASE WHEN description IS NOT NULL THEN
+    CASE code[1:4] {' '.join(f"WHEN {q(a)} THEN {q(b)}" for a, b in K.LINE_BY_HEADING_OFFLINE.items())} ELSE 'SP ' || code[1:4] END END AS product_line,
+  description AS industry_name, CASE WHEN description IS NOT NULL THEN CASE WHEN {_COMPONENT} THEN 'LK' ELSE 'NC' END END AS default_type,
+  CASE WHEN description IS NOT NULL THEN 'offline' END AS source FROM code_rows LEFT JOIN tariff USING (code)""")
+def taxonomy_offline(spark, sf_dir):
+    """An empty taxonomy: what the tariff alone tells."""
+    return taxonomy.resolve(code_rows(spark, sf_dir), taxonomy_table(spark, sf_dir).where("false"), reference_table(spark, sf_dir))
 
 
 cte("tax_updates", (), f"""SELECT ({_FAMILY}) || '.' || lpad((p_size % 8)::VARCHAR, 2, '0') AS hs_code_prefix, 'SP ' || p_brand AS product_line,
   p_name AS industry_name, CASE p_size % 5 WHEN 0 THEN ' lk ' WHEN 1 THEN 'XX' ELSE 'NC' END AS default_type, p_partkey AS seq FROM part""")
 
 
-@query("taxonomy_upsert", ("taxonomy", "tax_updates"), """
+_UPSERT_SQL = """
 SELECT hs_code_prefix, coalesce(u.product_line, t.product_line) AS product_line, coalesce(u.industry_name, t.industry_name) AS industry_name,
   coalesce(u.default_type, t.default_type) AS default_type, CASE WHEN u.seq IS NOT NULL THEN 'user_input' ELSE t.source END AS source
 FROM taxonomy t FULL OUTER JOIN (SELECT * FROM (SELECT * REPLACE (replace(hs_code_prefix, '.', '') AS hs_code_prefix,
     upper(trim(default_type)) AS default_type) FROM tax_updates) z WHERE default_type IN ('NC', 'LK')
   QUALIFY row_number() OVER (PARTITION BY hs_code_prefix ORDER BY seq DESC) = 1) u USING (hs_code_prefix)
-WHERE hs_code_prefix NOT IN ('9405', '850400')""")
-def taxonomy_upsert(spark, sf_dir):
+WHERE hs_code_prefix NOT IN ('9405', '850400')"""
+
+
+def tax_changes(spark, sf_dir):
+    """Updates from the parts, some with a kind that is none, and two codes to delete."""
     updates = views.table(spark, sf_dir, "part").selectExpr(
         f"concat({_FAMILY}, '.', lpad(p_size % 8, 2, '0')) AS hs_code_prefix", "concat('SP ', p_brand) AS product_line",
         "p_name AS industry_name", "CASE p_size % 5 WHEN 0 THEN ' lk ' WHEN 1 THEN 'XX' ELSE 'NC' END AS default_type",
         "p_partkey AS seq")
-    deletes = spark.createDataFrame([("9405",), ("8504.00",)], "hs_code_prefix string")
-    return taxonomy.upsert(taxonomy_table(spark, sf_dir), updates, deletes)
+    return updates, spark.createDataFrame([("9405",), ("8504.00",)], "hs_code_prefix string")
+
+
+@query("taxonomy_upsert", ("taxonomy", "tax_updates"), _UPSERT_SQL)
+def taxonomy_upsert(spark, sf_dir):
+    return taxonomy.upsert(taxonomy_table(spark, sf_dir), *tax_changes(spark, sf_dir))
+
+
+@query("taxonomy_merge", ("taxonomy", "tax_updates"), f"""SELECT *, 0 AS version FROM taxonomy UNION ALL BY NAME SELECT *, 1 AS version FROM ({_UPSERT_SQL}) u""")
+def taxonomy_merge(spark, sf_dir):
+    """The taxonomy in versions, before and after the changes; both are read from the same table."""
+    base = scratch_path(spark, "taxonomy")
+    snapshots.create(taxonomy_table(spark, sf_dir), base, "hs_code_prefix")
+    taxonomy.merge_into(spark, base, *tax_changes(spark, sf_dir))
+    versions = [snapshots.read(spark, base, v).withColumn("version", F.lit(v)) for v in snapshots.versions(spark, base)]
+    return versions[0].unionByName(versions[1])
 
 
 @query("taxonomy_seed", ("tariff",), f"""SELECT code AS hs_code_prefix, {_LINE.replace('hs_code', 'code')} AS product_line, description AS industry_name,
@@ -216,6 +247,34 @@ def taxonomy_seed(spark, sf_dir):
     return taxonomy.seed(names)
 
 
+@query("taxonomy_seed_kinds", ("tariff",), f"""SELECT code AS hs_code_prefix, {_LINE.replace('hs_code', 'code')} AS product_line, description AS industry_name,
+  CASE WHEN code[5:6] IN ('01', '03', '05', '07') THEN 'LK' ELSE 'NC' END AS default_type, 'tariff' AS source FROM tariff""")
+def taxonomy_seed_kinds(spark, sf_dir):
+    """Names with the kinds that a user gives for some of the codes."""
+    names = reference_table(spark, sf_dir).select(F.col("hs_code").alias("hs_code_prefix"), F.col("description").alias("industry_name"))
+    kinds = names.where("substring(hs_code_prefix, 6, 1) IN ('1', '3', '5', '7')").select("hs_code_prefix", F.lit("LK").alias("default_type"))
+    return taxonomy.seed(names, kinds, "tariff")
+
+
+cte("full_taxonomy", ("taxonomy", "tariff"), f"""SELECT * FROM taxonomy UNION ALL SELECT code, {_LINE.replace('hs_code', 'code')}, description,
+  CASE WHEN code[5:6] IN ('01', '03', '05', '07') THEN 'LK' ELSE 'NC' END, 'tariff' FROM tariff""")
+_OVERRIDE = "CASE hs_code " + " ".join(f"WHEN {q(a)} THEN {q(b)}" for a, b in K.LINE_OVERRIDES.items()) + " END"
+
+
+@query("label_fill_taxonomy", ("gaps", "full_taxonomy"), f"""SELECT row_id, hs_code,
+  CASE WHEN product_line <> '0' THEN product_line ELSE coalesce({_OVERRIDE}, heading_line, 'SP ' || hs_code[1:4]) END AS product_line,
+  CASE WHEN kind <> '0' THEN kind ELSE coalesce(default_type, 'NC') END AS kind,
+  CASE WHEN class1 <> '0' THEN class1 ELSE coalesce(industry_name, {q(K.UNCLASSIFIED)}) END AS class1,
+  CASE WHEN class2 <> '0' THEN class2 ELSE '' END AS class2
+FROM gaps LEFT JOIN (SELECT hs_code_prefix AS hs_code, default_type, industry_name FROM full_taxonomy) n USING (hs_code)
+  LEFT JOIN (SELECT hs_code_prefix[1:4] AS heading, arg_min(product_line, hs_code_prefix) AS heading_line FROM full_taxonomy GROUP BY 1) h ON h.heading = hs_code[1:4]""")
+def label_fill_taxonomy(spark, sf_dir):
+    """Gaps filled from a taxonomy of headings, six-digit groups and full codes."""
+    rows = D._zero_labels(gaps(spark, sf_dir)).withColumn("hs_code", codes.hs_digits(F.col("hs_code")))
+    records = taxonomy_table(spark, sf_dir).unionByName(taxonomy_seed_kinds(spark, sf_dir))
+    return D.fill_labels(rows, records).select("row_id", "hs_code", *K.LABEL_COLUMNS)
+
+
 @query("dict_active_owners", ("dictionary", "dictionary_b"), """SELECT keyword, hs_code, priority, class1, class2 FROM (
   SELECT *, row_number() OVER (PARTITION BY hs_code, keyword ORDER BY priority DESC, entry_id) AS rn FROM (
     SELECT unnest(keywords) AS keyword, hs_code, 0 AS priority, class1, class2, entry_id FROM dictionary
