@@ -122,10 +122,14 @@ best AS (SELECT doc_id, n_bytes, min((depth, prefix, shard_bytes, shard_rows)) A
 SELECT doc_id, n_bytes, CASE WHEN b[1] = 0 THEN '' ELSE lpad(bin(b[2]), b[1]::INTEGER, '0') END AS shard, b[1]::INTEGER AS depth, b[3] AS shard_bytes, b[4] AS shard_rows
 FROM best""")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as shards; sizes are those of the written texts, summed over the written files."""
     from cargoline.llm import sharding
+    from cargoline.session import scratch_path
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n"))
-    return sharding.assign(docs, "doc_id", F.col("n"), SHARD_BYTES).drop("n")
+    written = sharding.shard(table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES, scratch_path(spark, "shards"))
+    rows = written.select("doc_id", "shard", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"))
+    sizes = rows.groupBy("shard").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
+    return rows.join(sizes, "shard").select("doc_id", "n_bytes", "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_rows")
 
 
 @query("op9_embeddings")

@@ -2,16 +2,18 @@
 
 A bucket is a prefix of the key's hash bits. The directory starts with one bucket; only a bucket over the byte limit splits on one more
 bit, so every row's shard is the shortest prefix whose bucket fits. Sizes are summed at the longest prefix of a stretch of ``STEP`` bits
-first, and the shorter prefixes are summed from those; rows whose bucket is still too large go on with the next stretch.
+first, and the shorter prefixes are summed from those; rows whose bucket is still too large go on with the next stretch. ``shard`` writes every shard to a folder of its own and reads them back.
 
 A key may repeat: when all its bits are used up, bits of a number drawn per row go on splitting, so a key with a third of all rows fills as
 many shards as it needs. A bucket of one row is never split: a row over the limit gets a shard of its own. Null texts have no bytes, a
-null key hashes as the word null; an empty table has no shards. Every row is kept, repeated ones too.
+null key hashes as the word null; an empty table has no shards. Every row is kept, repeated ones too. Columns of the table that have a name of the
+result's (n_bytes, shard, depth, shard_bytes, shard_rows) give way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from cargoline.session import materialize
 
@@ -72,5 +74,17 @@ def _back(prefix: str, depth: int, start: int) -> Column:
 
 
 def write(sharded: DataFrame, path: str) -> None:
-    """Write each shard to a folder of its own; a shard is small enough for one task."""
+    """Write the rows of ``assign`` with each shard in a folder of its own, one file each; a shard is small enough for one task."""
     sharded.repartition("shard").write.partitionBy("shard").parquet(path)
+
+
+def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The shards that ``write`` wrote from rows of ``schema``; a shard's name stays text, and the undivided one has the empty name."""
+    return spark.read.schema(schema).parquet(path).withColumn("shard", F.coalesce("shard", F.lit("")))
+
+
+def shard(rows: DataFrame, key: str, size: Column, limit: int, path: str) -> DataFrame:
+    """Assign ``rows`` to shards, write these below ``path`` and return what the written files hold, with ``n_bytes`` and ``shard``."""
+    placed = assign(rows, key, size, limit).drop("depth", "shard_bytes", "shard_rows")
+    write(placed, path)
+    return read(rows.sparkSession, path, placed.schema)

@@ -167,6 +167,25 @@ def test_shards_fit_and_only_large_buckets_split(spark):
     assert {r.shard for r in sharding.assign(table, "key", F.col("size"), 10**9).collect()} == {""}
 
 
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rnd = random.Random(7)
+    texts = [None, "", "\u00e9" * 3000] + ["".join(rnd.choices(ALPHABET, k=rnd.randint(0, 400))) for _ in range(300)]
+    rows = [(k if k % 9 else None, t, "own") for k, t in enumerate(texts)] + [(5, "same", "own")] * 40
+    df = spark.createDataFrame(rows, "key bigint, text string, shard string")
+    for limit, name in ((2000, "cut"), (10**9, "whole")):
+        path = str(tmp_path / name)
+        back = sharding.shard(df, "key", F.octet_length("text"), limit, path).collect()
+        assert sorted(map(repr, ((r.key, r.text) for r in back))) == sorted(map(repr, ((k, t) for k, t, _ in rows)))
+        sums: dict = {}
+        for r in back:
+            sums.setdefault(r.shard, []).append(len((r.text or "").encode()))
+        assert all(sum(v) <= limit or len(v) == 1 for v in sums.values())
+        folders = [f for f in (tmp_path / name).iterdir() if f.is_dir()]
+        assert len(folders) == len(sums) and all(len(list(f.glob("*.parquet"))) == 1 for f in folders)
+    assert set(sums) == {""}
+    assert sharding.shard(df.where("false"), "key", F.octet_length("text"), 10, str(tmp_path / "empty")).count() == 0
+
+
 # --- embeddings -----------------------------------------------------------------------------------------------------
 
 def linked(rows, threshold=0.98):
