@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from cargoline.session import materialize
+from cargoline.session import materialize, scratch_path
 
 HASH_BITS = 60
 STEP = 12
@@ -37,12 +37,19 @@ def _prefix(depth: Column) -> list[Column]:
     return [_cut("h1", depth).alias("p1"), _cut("h2", depth - HASH_BITS).alias("p2")]
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """Whole rows, written once and read back; with zstd, as they lie on disk beside their shuffle and the shards."""
+    path = scratch_path(rows.sparkSession, "shard-rows")
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def assign(rows: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
     """``rows`` with ``n_bytes``, ``shard`` (the bits of its prefix), ``depth``, ``shard_bytes`` and ``shard_rows``."""
     kept = [F.col(f"`{c}`") for c in rows.columns if c not in ("n_bytes", "shard", "depth", "shard_bytes", "shard_rows")]
     placed = rows.select(F.struct(*kept).alias("row"), F.coalesce(size, F.lit(0)).cast("bigint").alias("n_bytes"), key_hash(F.col(f"`{key}`")).alias("h1"),
                          F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 4).alias("h2"))
-    open_rows, base, done = materialize(placed, "shard-rows"), 0, []
+    open_rows, base, done = _kept(placed), 0, []
     while base < MOST_BITS:
         last = min(base + STEP, MOST_BITS)
         leaves = materialize(open_rows.groupBy(*_prefix(F.lit(last))).agg(F.sum("n_bytes").alias("bytes"), F.count("*").alias("n")).select(
@@ -57,7 +64,7 @@ def assign(rows: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
         done.append(marked.where("best IS NOT NULL").select("row", "n_bytes", "best"))
         if leaves.join(best, ["l1", "l2"], "left_anti").isEmpty():
             break
-        open_rows = materialize(marked.where("best IS NULL").select("row", "n_bytes", "h1", "h2"), "shard-rows")
+        open_rows = _kept(marked.where("best IS NULL").select("row", "n_bytes", "h1", "h2"))
         base = last
     every = done[0]
     for part in done[1:]:
@@ -75,7 +82,7 @@ def _back(prefix: str, depth: int, start: int) -> Column:
 
 def write(sharded: DataFrame, path: str) -> None:
     """Write the rows of ``assign`` with each shard in a folder of its own, one file each; a shard is small enough for one task."""
-    sharded.repartition("shard").write.partitionBy("shard").parquet(path)
+    sharded.repartition("shard").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
