@@ -13,6 +13,7 @@ from cargoline.plans import cascade, views
 from cargoline.plans.shared import dictionary, dictionary_b, ground_truth, model
 from cargoline.queries.oracle import LABEL4, bayes_ctes, cte, q, sql_label_part, sql_squeeze, weighted_ctes
 from cargoline.queries.registry import query
+from cargoline.session import scratch_path
 
 L4 = ", ".join(K.LABEL_COLUMNS)
 
@@ -266,3 +267,46 @@ def classify_from_saved_knowledge(spark, sf_dir):
 def label_support(spark, sf_dir):
     kept = classifier.supported_labels(labelled(views.rows(spark, sf_dir)))
     return kept.groupBy("label").agg(F.count("*").alias("n"))
+
+
+#: How sharply the probabilities of the nearest-centroid model follow its cosines.
+_SHARPNESS = 20.0
+
+
+@query("classify_with_model", (), f"""WITH c AS (SELECT label, list(m ORDER BY pos) AS m FROM (SELECT label, pos, avg(x) AS m FROM (
+    SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings WHERE label IS NOT NULL) GROUP BY ALL) GROUP BY label),
+s AS (SELECT vec_id, c.label, {_SHARPNESS} * list_cosine_similarity(embedding::DOUBLE[], m) AS s FROM embeddings, c),
+b AS (SELECT vec_id, min((-s, label)) AS best, max(s) AS top, count(*)::INT AS n_labels FROM s GROUP BY vec_id),
+p AS (SELECT vec_id, any_value(best[2])::VARCHAR AS label, 1 / sum(exp(s - top)) AS confidence, any_value(n_labels) AS n_labels FROM s JOIN b USING (vec_id) GROUP BY vec_id)
+SELECT vec_id, label, round(confidence, 6) AS confidence, n_labels, CASE WHEN n_labels = 1 THEN 'auto_single' WHEN confidence >= 0.85 THEN 'auto_model' ELSE 'review' END AS status FROM p""")
+def classify_with_model(spark, sf_dir):
+    """A nearest-centroid model, one vector per label, fitted here, saved, and applied to all vectors as a user's model."""
+    from cargoline.operators.custom import classify_with_model as apply
+
+    vectors = views.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    parts = vectors.where("label IS NOT NULL").select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    path = scratch_path(spark, "centroids")
+    means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda e: e.m).alias("m")).write.parquet(path)
+    sharpness = _SHARPNESS
+
+    def load(folder):
+        import numpy as np
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        place, inner = fs.FileSystem.from_uri(folder)
+        saved = pq.read_table(inner, filesystem=place).sort_by("label").to_pydict()
+        centres = np.array(saved["m"], dtype=float)
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+
+        def answer(batch):
+            v = np.array(batch["embedding"].tolist(), dtype=float)
+            scores = sharpness * (v @ centres.T) / np.linalg.norm(v, axis=1, keepdims=True)
+            shares = np.exp(scores - scores.max(axis=1, keepdims=True))
+            return [str(saved["label"][k]) for k in scores.argmax(axis=1)], 1 / shares.sum(axis=1), [len(centres)] * len(v)
+
+        return answer
+
+    found = apply(vectors.select("vec_id", "embedding"), load, path, key="vec_id")
+    return found.select("vec_id", "label", F.round("confidence", 6).alias("confidence"), "n_labels", "status")

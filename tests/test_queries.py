@@ -11,7 +11,8 @@ SF_DIR = os.environ.get("CARGOLINE_SF_DIR", "/root/testdata/sf0.001")
 SOME = ["clean_basic", "standardize", "scan_preamble_csv", "dict_supervised", "dict_from_labelled", "match_phrase", "hs_mapping",
         "draft_taxonomy", "classify_cascade", "nb_predict", "accuracy_breakdown", "calibration_bins", "top_companies",
         "taxonomy_resolve", "retention_top10", "cluster_descriptions", "match_semantic", "semantic_dedup", "dict_route", "kind_rules", "linear_predict",
-        "match_history_table", "keyword_maximal", "page_rows_deep"]
+        "match_history_table", "keyword_maximal", "page_rows_deep",
+        "scan_mixed_files", "taxonomy_merge", "label_fill_taxonomy", "classify_with_model"]
 NAMES = list(entry.queries()) if os.environ.get("CARGOLINE_ALL_QUERIES") else SOME
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
